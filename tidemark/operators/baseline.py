@@ -25,14 +25,19 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
     ``weekday_days`` days) the mean remainder per weekday; the band is a multiple of the
     standard deviation of what is left.  A series of one point expects itself.
 
-    All windows partition by the series or by more than it, so one shuffle serves them all;
-    a series has one row per hour, whatever the number of events behind it.
+    All windows partition by the series or by more than it, so one shuffle serves them all,
+    and two sorts: by series and hour of day, then by series and weekday.  A series has one
+    row per hour, whatever the number of events behind it.
     """
     whole = Window.partitionBy(*keys)
     by_hour = Window.partitionBy(*keys, "hour_of_day")
     by_weekday = Window.partitionBy(*keys, "weekday")
+    timed = series.withColumns({"hour_of_day": F.hour("ds"), "weekday": F.weekday("ds")})
+    # A set number of partitions: the windows cost far more than the size of their rows tells
+    # the adaptive planner, which would put too many series into one task.
+    partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        series
+        timed.repartition(partitions, *keys).sortWithinPartitions(*keys, "hour_of_day")
         .withColumn("start", F.min("ds").over(whole))
         .withColumn("long_enough",
                     whole_hours(F.col("start"), F.max("ds").over(whole)) >= weekday_days * 24)
@@ -40,8 +45,6 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
         .withColumn("trend", F.coalesce(
             F.regr_slope("y", "x").over(whole) * F.col("x") + F.regr_intercept("y", "x").over(whole),
             F.avg("y").over(whole)))
-        .withColumn("hour_of_day", F.hour("ds"))
-        .withColumn("weekday", F.weekday("ds"))
         .withColumn("by_hour", F.avg(F.col("y") - F.col("trend")).over(by_hour))
         .withColumn("by_weekday", F.when(F.col("long_enough"), F.avg(
             F.col("y") - F.col("trend") - F.col("by_hour")).over(by_weekday)).otherwise(0.0))

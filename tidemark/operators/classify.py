@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import at_most_one, ratio, rounded
+from tidemark.functions.numbers import at_most_one, exact_mean, ratio, rounded
 from tidemark.functions.timeparts import hours
 
 # Base score per scenario, weights, full-score sizes and the cut.
@@ -75,8 +75,8 @@ def classification_summary(classified: DataFrame, by=()) -> DataFrame:
         F.count_if(true).alias("tp_count"),
         F.count_if(false).alias("fp_count"),
         rounded(F.coalesce(ratio(F.count_if(true), F.count("*")), F.lit(0.0))).alias("tp_share"),
-        rounded(F.coalesce(F.avg(F.when(true, score)), F.lit(0.0))).alias("tp_avg_confidence"),
-        rounded(F.coalesce(F.avg(F.when(false, score)), F.lit(0.0))).alias("fp_avg_confidence"))
+        F.coalesce(rounded(exact_mean(F.when(true, score))), F.lit(0.0)).alias("tp_avg_confidence"),
+        F.coalesce(rounded(exact_mean(F.when(false, score))), F.lit(0.0)).alias("fp_avg_confidence"))
 
 
 def scenario_breakdown(classified: DataFrame, by=()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import clean_name_lists
 from tidemark.functions.numbers import rounded
 from tidemark.operators.baseline import top_level
+from tidemark.plans.profiles import Profile
 
 PANEL = ("tenant", "metric", "dim")
 
@@ -22,13 +23,14 @@ def anomalous_hours(scored: DataFrame) -> DataFrame:
     return top_level(scored).where(F.col("is_anomaly") == 1).select("tenant", "metric", "ds")
 
 
-def hour_vectors(scored: DataFrame, members: DataFrame) -> DataFrame:
+def hour_vectors(scored: DataFrame, profile: Profile) -> DataFrame:
     """One row per anomalous hour and dimension with ``values``: an array, in report order,
     of ``(ord, member, value)`` with 0 for a missing percent difference.
 
     The array holds the registered members of the dimension, never more.
     """
-    wanted = anomalous_hours(scored).join(members.where(F.col("dim") != "total"), "metric")
+    wanted = anomalous_hours(scored).select(
+        "tenant", "metric", "ds", F.inline(profile.places_of(F.col("metric"))))
     values = scored.select("tenant", "metric", "dim", "member", "ds", "percent_diff")
     return (
         wanted.join(values, ["tenant", "metric", "dim", "member", "ds"], "left")
@@ -148,7 +150,7 @@ def contributors_outer(left: DataFrame, right: DataFrame) -> DataFrame:
     ).withColumn("matches", F.size("hours_x").cast("bigint") * F.size("hours_y"))
 
 
-def find_contributors(scored: DataFrame, members: DataFrame) -> DataFrame:
+def find_contributors(scored: DataFrame, profile: Profile) -> DataFrame:
     """``tenant, metric, dim, ds, contributors`` for every anomalous hour."""
-    vectors = hour_vectors(scored, members)
+    vectors = hour_vectors(scored, profile)
     return max_contributors(vectors, knee_eps(nn_distance(vectors)))

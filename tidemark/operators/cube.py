@@ -26,8 +26,8 @@ def activity(events: DataFrame, profile: Profile) -> DataFrame:
         F.col(profile.session).alias("session"),
         "event_name",
         truncate(time).alias("ds"),
-        profile.geo.alias("geo"),
-        profile.device.alias("device"),
+        profile.geo().alias("geo"),
+        profile.device().alias("device"),
         F.col("utm_source").alias("source"),
         F.col("utm_medium").alias("medium"),
         time.alias("time"),
@@ -36,7 +36,18 @@ def activity(events: DataFrame, profile: Profile) -> DataFrame:
         F.count("*").alias("n"), F.min("time").alias("first_time"))
 
 
-def _names_by_event(metrics: list[Metric], entry) -> Column:
+def _pair(dim: str, member: Column) -> Column:
+    return F.struct(F.lit(dim).alias("dim"), member.alias("member"))
+
+
+def _sides(metric: Metric) -> list[Column]:
+    """Dimensions that a row of the metric counts for, and its top level."""
+    columns = {"geo": F.col("geo"), "device": F.col("device")}
+    total = [] if metric.session_dims else [_pair(TOTAL, F.lit(TOTAL_MEMBER))]
+    return [_pair(d, columns[d]) for d in metric.dims] + total
+
+
+def _per_event(metrics: list[Metric], entry) -> Column:
     """Array of entries for the metrics that count the row's event."""
     options = [
         F.when(F.lit(True) if m.event is None else F.col("event_name") == m.event, entry(m))
@@ -45,91 +56,72 @@ def _names_by_event(metrics: list[Metric], entry) -> Column:
     return F.array_compact(F.array(*options))
 
 
+def _spread(rows: DataFrame, n: Column) -> DataFrame:
+    """One row per side of the row's metric."""
+    return rows.select("tenant", "metric", F.inline("sides"), "ds", n.alias("n"))
+
+
 def counted_cells(act: DataFrame, profile: Profile) -> DataFrame:
-    """Metrics that count every event, per hour, geography and device."""
+    """Metrics that count every event."""
     counted = [m for m in profile.metrics if m.unique_by is None]
-    cells = act.groupBy("tenant", "event_name", "ds", "geo", "device").agg(F.sum("n").alias("n"))
-    metric = F.explode(_names_by_event(counted, lambda m: F.lit(m.name)))
-    return cells.select("tenant", metric.alias("metric"), "ds", "geo", "device", "n")
+    entry = F.inline(_per_event(counted, lambda m: F.struct(
+        F.lit(m.name).alias("metric"), F.array(*_sides(m)).alias("sides"))))
+    return _spread(act.select("tenant", "ds", "n", entry), F.col("n"))
 
 
 def unique_cells(act: DataFrame, profile: Profile) -> DataFrame:
     """Metrics that count each key once, in the hour of its earliest event."""
     unique = [m for m in profile.metrics if m.unique_by]
-    entry = F.explode(_names_by_event(
+    entry = F.inline(_per_event(
         unique, lambda m: F.struct(F.lit(m.name).alias("metric"), F.col(m.unique_by).alias("key"))))
-    rows = act.select("tenant", entry.alias("entry"), "first_time", "geo", "device").select(
-        "tenant", "entry.metric", "entry.key", "first_time", "geo", "device")
+    rows = act.select("tenant", entry, "first_time", "geo", "device")
     first = earliest_per_key(rows, ["tenant", "metric", "key"], "first_time", ["geo", "device"])
-    return (
-        first.groupBy("tenant", "metric", truncate(F.col("first_time")).alias("ds"), "geo", "device")
-        .agg(F.count("*").alias("n"))
-    )
+    sides = F.lit(None)
+    for m in unique:
+        sides = F.when(F.col("metric") == m.name, F.array(*_sides(m))).otherwise(sides)
+    return _spread(first.select(
+        "tenant", "metric", truncate(F.col("first_time")).alias("ds"), sides.alias("sides")), F.lit(1))
 
 
 def session_cells(act: DataFrame, profile: Profile) -> DataFrame:
-    """Sessions by the listed source and medium of their earliest event, in long form."""
+    """Sessions by the listed source and medium of their earliest event."""
     metric = next(m for m in profile.metrics if m.session_dims)
     first = earliest_per_key(act, ["tenant", "session"], "first_time", ["source", "medium"])
-    pair = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("dim"), F.col(d).alias("member")) for d in metric.session_dims]))
-    rows = first.select("tenant", truncate(F.col("first_time")).alias("ds"), pair.alias("pair"))
-    listed = [
-        (F.col("dim") == d) & F.col("member").isin(list(profile.members[d]))
-        for d in metric.session_dims
-    ]
-    keep = listed[0]
-    for condition in listed[1:]:
-        keep = keep | condition
-    return (
-        rows.select("tenant", F.lit(metric.name).alias("metric"), "pair.*", "ds")
-        .where(keep)
-        .groupBy("tenant", "metric", "dim", "member", "ds")
-        .agg(F.count("*").alias("y"))
-    )
+
+    def listed(dim: str) -> Column:
+        return F.col(dim).isin(list(profile.members[dim]))
+
+    sides = [F.when(listed(d), _pair(d, F.col(d))) for d in metric.session_dims]
+    sides.append(F.when(listed(metric.top_level_from), _pair(TOTAL, F.lit(TOTAL_MEMBER))))
+    return _spread(first.select(
+        "tenant", F.lit(metric.name).alias("metric"), truncate(F.col("first_time")).alias("ds"),
+        F.array_compact(F.array(*sides)).alias("sides")), F.lit(1))
 
 
 def kpi_cube(act: DataFrame, profile: Profile) -> DataFrame:
     """Long cube ``tenant, metric, dim, member, ds, y``, top levels under dim ``total``."""
-    cells = counted_cells(act, profile).unionByName(unique_cells(act, profile))
-    sessions = session_cells(act, profile)
-    from_sessions = [m.name for m in profile.metrics if m.session_dims]
-    top_dim = {m.top_level_from for m in profile.metrics if m.session_dims}
-
-    def pair(dim: str, member: Column) -> Column:
-        return F.struct(F.lit(dim).alias("dim"), member.alias("member"))
-
-    sides = F.array_compact(F.array(
-        pair("geo", F.col("geo")),
-        pair("device", F.col("device")),
-        F.when(~F.col("metric").isin(from_sessions), pair(TOTAL, F.lit(TOTAL_MEMBER)))))
-    by_member = cells.select("tenant", "metric", F.explode(sides).alias("pair"), "ds", "n").select(
-        "tenant", "metric", "pair.*", "ds", "n")
-    by_member = by_member.groupBy("tenant", "metric", "dim", "member", "ds").agg(F.sum("n").alias("y"))
-    session_top = (
-        sessions.where(F.col("dim").isin(list(top_dim)))
-        .groupBy("tenant", "metric", "ds").agg(F.sum("y").alias("y"))
-        .select("tenant", "metric", F.lit(TOTAL).alias("dim"), F.lit(TOTAL_MEMBER).alias("member"), "ds", "y")
+    cells = (
+        counted_cells(act, profile)
+        .unionByName(unique_cells(act, profile))
+        .unionByName(session_cells(act, profile))
     )
-    return by_member.unionByName(sessions).unionByName(session_top)
+    return cells.groupBy("tenant", "metric", "dim", "member", "ds").agg(F.sum("n").alias("y"))
 
 
-def dense_series(cube: DataFrame, members: DataFrame) -> DataFrame:
+def dense_series(cube: DataFrame, profile: Profile) -> DataFrame:
     """Every registered member at every hour its metric and dimension has a row, else 0.
 
     The rows of one hour are folded into a map of at most the registered members, so the
-    fill needs no second shuffle of the cube.
+    fill needs one shuffle of the cube and no join.
     """
-    analysed = members.select("metric", "dim").distinct()
-    known = members.select("metric", "dim", "member", F.lit(True).alias("known"))
+    listed = profile.members_of(F.col("metric"), F.col("dim"))
     hour = (
-        cube.join(analysed, ["metric", "dim"], "left_semi")
-        .join(known, ["metric", "dim", "member"], "left")
+        cube.withColumn("listed", listed).where(F.col("listed").isNotNull())
         .groupBy("tenant", "metric", "dim", "ds")
-        .agg(F.map_from_entries(F.collect_list(
-            F.when(F.col("known"), F.struct("member", "y")))).alias("counts"))
+        .agg(F.map_from_entries(F.collect_list(F.when(
+            F.array_contains("listed", F.col("member")), F.struct("member", "y")))).alias("counts"))
     )
-    return hour.join(members, ["metric", "dim"]).select(
+    return hour.select("tenant", "metric", "dim", F.explode(listed).alias("member"), "ds", "counts").select(
         "tenant", "metric", "dim", "member", "ds",
         F.coalesce(F.try_element_at("counts", F.col("member")), F.lit(0)).alias("y"))
 
@@ -164,3 +156,18 @@ def grouping_sets_cube(rows: DataFrame, time: str = "event_timestamp", by=("tena
         F.sum("n").alias("n"),
         F.when(F.grouping("geo") == 0, "geo").when(F.grouping("device") == 0, "device")
         .otherwise(TOTAL).alias("dim"))
+
+
+def registry_totals(events: DataFrame, registry: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Size of each metric of a registry ``name -> (event, once per session)``, in one pass.
+
+    Events are first counted per session and event, so a session is one row from then on.
+    """
+    sessions = events.groupBy("tenant", "event_name", "session").agg(F.count("*").alias("n"))
+    entries = [
+        F.when(F.col("event_name") == event, F.struct(
+            F.lit(name).alias("metric"), (F.lit(1) if once else F.col("n")).cast("bigint").alias("n")))
+        for name, (event, once) in registry.items()
+    ]
+    rows = sessions.select("tenant", F.inline(F.array_compact(F.array(*entries))))
+    return rows.groupBy("tenant", "metric").agg(F.sum("n").alias("n"))

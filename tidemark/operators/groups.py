@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import as_text, union_of_lists
-from tidemark.functions.numbers import rounded
+from tidemark.functions.numbers import exact_mean, rounded
 from tidemark.functions.timeparts import hours, label, whole_hours
 
 # Longest gap inside a group, share of upstream anomalies for a funnel effect.
@@ -94,7 +94,7 @@ def group_metrics(grouped: DataFrame, hour_report: DataFrame) -> DataFrame:
     rows = grouped.select("tenant", "group_id", "ds").join(hour_report, ["tenant", "ds"])
     return rows.groupBy("tenant", "group_id", "metric", "metric_ord", "priority", "funnel_rank").agg(
         F.sum("anomaly").alias("anomalies"),
-        rounded(F.coalesce(F.avg("percent_diff"), F.lit(0.0))).alias("percent_diff"),
+        F.coalesce(rounded(exact_mean(F.col("percent_diff"))), F.lit(0.0)).alias("percent_diff"),
         union_of_lists(F.collect_set("contributors")).alias("contributors"))
 
 
@@ -102,7 +102,7 @@ def group_members(grouped: DataFrame, members_long: DataFrame) -> DataFrame:
     """Per group and member: mean percent difference."""
     rows = grouped.select("tenant", "group_id", "ds").join(members_long, ["tenant", "ds"])
     return rows.groupBy("tenant", "group_id", "metric", "dim", "member").agg(
-        rounded(F.coalesce(F.avg("percent_diff"), F.lit(0.0))).alias("percent_diff"))
+        F.coalesce(rounded(exact_mean(F.col("percent_diff"))), F.lit(0.0)).alias("percent_diff"))
 
 
 def root_cause(per_metric: DataFrame, share: float = UPSTREAM_SHARE) -> DataFrame:

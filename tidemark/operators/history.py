@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rounded
+from tidemark.functions.numbers import exact_mean, rounded
 from tidemark.operators.groups import hours_in_span
 from tidemark.plans.profiles import each_of
 
@@ -41,7 +41,7 @@ def historical_changes(spans: DataFrame, scored: DataFrame, member_rows: list[di
     series = scored.select("tenant", "metric", "dim", "member", "ds", "percent_diff")
 
     def mean(name: str) -> Column:
-        return F.avg(F.when(F.col("window") == name, F.col("percent_diff"))) * 100
+        return exact_mean(F.when(F.col("window") == name, F.col("percent_diff"))) * 100
 
     measured = (
         hours.join(series, ["tenant", "ds"])

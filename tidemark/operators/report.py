@@ -120,20 +120,22 @@ def top_event(hour_report: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(hours: DataFrame, contributors: DataFrame, metric: str) -> DataFrame:
-    """Per shop: hours whose list names ``metric``, and the contributor seen most often in
-    them (ties by name) with its count."""
-    named = hours.where(any_contains(F.col("event_names"), metric)).select("tenant", F.col("hour").alias("ds"))
-    counts = named.groupBy("tenant").agg(F.count("*").alias("anomalies"))
+def metric_summary(hours: DataFrame, contributors: DataFrame, metrics) -> DataFrame:
+    """Per shop and metric: hours whose list names the metric, and the contributor seen most
+    often in them (ties by name) with its count."""
+    named = F.explode(F.array_compact(F.array(*[
+        F.when(any_contains(F.col("event_names"), m), F.lit(m)) for m in metrics])))
+    hits = hours.select("tenant", F.col("hour").alias("ds"), named.alias("metric"))
+    counts = hits.groupBy("tenant", "metric").agg(F.count("*").alias("anomalies"))
     names = (
-        named.join(contributors.where(F.col("metric") == metric), ["tenant", "ds"])
-        .select("tenant", F.explode("contributors").alias("name"))
-        .groupBy("tenant", "name").agg(F.count("*").alias("n"))
-        .groupBy("tenant").agg(
+        hits.join(contributors, ["tenant", "metric", "ds"])
+        .select("tenant", "metric", F.explode("contributors").alias("name"))
+        .groupBy("tenant", "metric", "name").agg(F.count("*").alias("n"))
+        .groupBy("tenant", "metric").agg(
             F.min(F.struct((-F.col("n")).alias("rank"), "name")).alias("top"))
     )
-    return counts.join(names, "tenant", "left").select(
-        "tenant", F.lit(metric).alias("metric"), "anomalies",
+    return counts.join(names, ["tenant", "metric"], "left").select(
+        "tenant", "metric", "anomalies",
         F.col("top.name").alias("top_contributor"), (-F.col("top.rank")).alias("occurrences"))
 
 

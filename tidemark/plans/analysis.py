@@ -56,7 +56,7 @@ class Analysis:
 
     @cached_property
     def series(self) -> DataFrame:
-        return Q.dense_series(self.cube, self.members)
+        return Q.dense_series(self.cube, self.profile)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -64,7 +64,7 @@ class Analysis:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return self.work.keep(C.hour_vectors(self.scored, self.members), "vectors")
+        return self.work.keep(C.hour_vectors(self.scored, self.profile), "vectors")
 
     @cached_property
     def distances(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -46,8 +47,8 @@ class Profile:
 
     metrics: tuple[Metric, ...]
     members: dict[str, tuple[str, ...]]
-    geo: Column | None = field(default=None, compare=False)
-    device: Column | None = field(default=None, compare=False)
+    geo: Callable[[], Column] | None = field(default=None, compare=False)
+    device: Callable[[], Column] | None = field(default=None, compare=False)
     tenant: str = "client_id"
     visitor: str = "event_details_clientid"
     session: str = "session_id"
@@ -73,6 +74,25 @@ class Profile:
                 rows += [(m.name, dim, member) for member in self.members[dim]]
         return [{"metric": a, "dim": b, "member": c, "ord": i} for i, (a, b, c) in enumerate(rows)]
 
+    def members_of(self, metric: Column, dim: Column) -> Column:
+        """Array of the registered members of a metric's dimension, null if not analysed."""
+        lists: dict[str, list[str]] = {}
+        for r in self.member_rows():
+            lists.setdefault(f"{r['metric']}/{r['dim']}", []).append(r["member"])
+        pairs = [x for k, v in lists.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in v]))]
+        return F.try_element_at(F.create_map(*pairs), F.concat_ws("/", metric, dim))
+
+    def places_of(self, metric: Column) -> Column:
+        """Array of ``(dim, member, ord)`` below the metric's top level."""
+        places: dict[str, list[Column]] = {}
+        for r in self.member_rows():
+            if r["dim"] != TOTAL:
+                places.setdefault(r["metric"], []).append(F.struct(
+                    F.lit(r["dim"]).alias("dim"), F.lit(r["member"]).alias("member"),
+                    F.lit(r["ord"]).alias("ord")))
+        pairs = [x for k, v in places.items() for x in (F.lit(k), F.array(*v))]
+        return F.try_element_at(F.create_map(*pairs), metric)
+
 
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """Local table of config rows, marked for broadcast: its size is fixed by the profile."""
@@ -158,12 +178,12 @@ SECOND_REGISTRY = {
 def browser_profile(global_shop: str) -> Profile:
     return Profile(
         BROWSER_METRICS, BROWSER_MEMBERS,
-        geo=D.geo_two_way(F.col("shop"), global_shop),
-        device=D.device_from_agent(F.col("user_agent")))
+        geo=lambda: D.geo_two_way(F.col("shop"), global_shop),
+        device=lambda: D.device_from_agent(F.col("user_agent")))
 
 
 def second_tracker_profile() -> Profile:
     return Profile(
         SECOND_METRICS, SECOND_MEMBERS,
-        geo=D.geo_by_country(F.col("country_name")),
-        device=D.device_from_column(F.col("os")))
+        geo=lambda: D.geo_by_country(F.col("country_name")),
+        device=lambda: D.device_from_column(F.col("os")))
