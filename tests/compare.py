@@ -55,7 +55,7 @@ def compare(spark, db, sf_dir: str, build, text: str) -> tuple[bool, str]:
         return True, f"{len(mine)} rows"
     only_mine, only_theirs = set(mine) - set(theirs), set(theirs) - set(mine)
     return False, (f"{len(mine)} against {len(theirs)} rows, {len(only_mine)} differ; {sorted(names)}\n"
-                   f"    spark {sorted(only_mine, key=repr)[:2]}\n    sql   {sorted(only_theirs, key=repr)[:2]}")
+                   f"    spark {sorted(only_mine, key=repr)[:1]}\n    sql   {sorted(only_theirs, key=repr)[:1]}")
 
 
 def main(sf_dir: str, wanted: list[str]) -> None:

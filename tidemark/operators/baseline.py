@@ -63,13 +63,15 @@ def score(forecast: DataFrame) -> DataFrame:
     """Adds ``is_anomaly, diff, percent_diff`` to a forecast.
 
     A missing ``y`` counts as an anomaly; the percent difference is null where ``y`` is 0.
-    Any forecaster that gives ``yhat, yhat_lower, yhat_upper`` fits in.
+    Any forecaster that gives ``yhat, yhat_lower, yhat_upper`` fits in.  The division is done
+    on decimals: with small counts its outcome often lies exactly between two roundings.
     """
+    y, yhat = F.col("y").cast("decimal(24,6)"), F.col("yhat").cast("decimal(24,6)")
     inside = (F.col("y") >= F.col("yhat_lower")) & (F.col("y") <= F.col("yhat_upper"))
     return forecast.withColumns({
         "is_anomaly": F.when(inside, 0).otherwise(1),
         "diff": rounded(F.abs(F.col("yhat") - F.col("y"))),
-        "percent_diff": rounded(ratio(F.col("y") - F.col("yhat"), F.col("y"))),
+        "percent_diff": rounded(ratio(y - yhat, y)),
     })
 
 
