@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dimensions import condition_column, mapped, when_then
 from tidemark.functions.timeparts import truncate
 from tidemark.operators.dedup import earliest_per_key
 from tidemark.operators.select import predicate
-from tidemark.sources.config import validate
+from tidemark.sources.config import load_config, validate
+from tidemark.sources.events import without_zone
+from tidemark.sources.sinks import write_kpi_tables
+from tidemark.sources.work import WorkTables
 
 KEEP_OWN_VALUE = "device"
 
@@ -232,3 +235,15 @@ def kpi_tables(events: DataFrame, config: dict, by=(), fill: int | None = 0) ->
         (name, dim): kpi_wide(long, name, dim, config, by, fill)
         for name, kpi in config["kpis"].items() for dim in _used_dimensions(kpi, config)
     }
+
+
+def run(spark: SparkSession, path: str, by=()) -> dict[tuple[str, str], str]:
+    """Read a configuration, its events, and write one CSV folder per configured table."""
+    config = load_config(path)
+    events = without_zone(spark.read.parquet(config["data"]["input_file"]))
+    long = WorkTables(spark).keep(kpi_long(events, config, by), "kpis")
+    tables = {
+        (name, dim): kpi_wide(long, name, dim, config, by)
+        for name, kpi in config["kpis"].items() for dim in _used_dimensions(kpi, config)
+    }
+    return write_kpi_tables(tables, config["data"]["output_directory"])
