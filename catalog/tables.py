@@ -7,7 +7,6 @@ sessions are a user's calendar day; ``k`` is the integer in ``props``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 GLOBAL_SHOP = "global.shop.example"
 
@@ -32,81 +31,82 @@ MEDIUMS = ("cpc", "email", "affiliates", "referral", None)
 COUNTRIES = ("United States", "United Kingdom", "Canada", "Germany", "Australia", "France", "Peru", None)
 
 
-def pick(number, values):
+def _text(value) -> str:
+    return "NULL" if value is None else f"'{value}'"
+
+
+def pick(number: str, values) -> str:
     """Entry of ``values`` at ``number`` modulo their count."""
-    table = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.element_at(table, (number % len(values) + 1).cast("int"))
+    table = ", ".join(f"CAST({_text(v)} AS STRING)" for v in values)
+    return f"element_at(array({table}), CAST({number} % {len(values)} + 1 AS INT))"
+
+
+EVENT_NAME = "CASE event_type " + " ".join(
+    f"WHEN '{old}' THEN '{new}'" for old, new in EVENT_NAMES.items()) + " END"
+AGENT = "CAST(floor(user_id / 4) AS BIGINT)"
+TENANT = "concat('tenant_', user_id % 4)"
+
+BROWSER_VIEW = {
+    "event_type": "'customer_event'",
+    "event_name": EVENT_NAME,
+    "event_timestamp": "ts",
+    "shop": f"CASE WHEN k < 50 THEN '{GLOBAL_SHOP}' ELSE 'us.shop.example' END",
+    "page_url": "concat('https://shop.example/p/', k)",
+    "user_agent": pick(AGENT, AGENTS),
+    "session_id": "visitor",
+    "client_id": TENANT,
+    "event_details_id": "CAST(event_id AS STRING)",
+    "event_details_clientid": "visitor",
+    "processed_timestamp": """CASE k % 3 WHEN 0 THEN concat(translate(CAST(ts AS STRING), ' ', 'T'), 'Z')
+        WHEN 1 THEN substring(CAST(ts AS STRING), 1, 19) ELSE concat(CAST(ts AS STRING), '+00:00') END""",
+    "price_amount": "value",
+    "price_currency": "'GBP'",
+    "device_type": f"CASE WHEN {AGENT} % 6 < 2 THEN 'mobile' ELSE 'desktop' END",
+    "browser": f"CASE WHEN {AGENT} % 6 = 0 THEN 'Safari' ELSE 'Chrome' END",
+    "os": pick(AGENT, SYSTEMS),
+    "utm_source": pick("k", SOURCES),
+    "utm_medium": pick("k", MEDIUMS),
+    "utm_campaign": "concat('campaign_', k % 3)",
+}
+
+SECOND_VIEW = {
+    "client_id": TENANT,
+    "session_id": "visitor",
+    "event_datetime": "ts",
+    "event_name": """CASE WHEN event_type = 'click' AND k % 10 = 0 THEN 'Login'
+        WHEN event_type = 'click' AND k % 10 = 1 THEN 'Search'
+        WHEN event_type = 'click' AND k % 10 = 2 THEN 'emailSubscribe'
+        WHEN event_type = 'click' THEN 'PageView'
+        WHEN event_type = 'view' THEN 'ViewContent'
+        WHEN event_type = 'signup' THEN 'AddToCart'
+        WHEN event_type = 'error' THEN 'InitiateCheckout' ELSE 'Purchase' END""",
+    "device_platform": f"CASE WHEN {AGENT} % 6 < 2 THEN 'mobile' ELSE 'desktop' END",
+    "browser_name": f"CASE WHEN {AGENT} % 6 = 0 THEN 'Safari' ELSE 'Chrome' END",
+    "os_name": pick(AGENT, SYSTEMS),
+    "country_name": pick("k", COUNTRIES),
+    "search_utm_source": pick("k", SOURCES),
+    "search_utm_medium": pick("k", MEDIUMS),
+    "search_utm_content": "concat('content_', k % 2)",
+    "search_utm_term": "concat('term_', k % 4)",
+}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir).withColumns({
-        "k": F.get_json_object("props", "$.k").cast("int"),
-        "visitor": F.concat_ws("/", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")),
-    })
+def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
+    keyed = raw(spark, sf_dir).selectExpr(
+        "*", "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "concat(user_id, '/', CAST(ts AS DATE)) AS visitor")
+    return keyed.selectExpr(*[f"{rule} AS {name}" for name, rule in columns.items()])
 
 
 def browser_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser-pixel tracker view."""
-    name = F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair])
-    agent = F.floor(F.col("user_id") / 4).cast("bigint")
-    text = F.col("ts").cast("string")
-    processed = (
-        F.when(F.col("k") % 3 == 0, F.concat(F.translate(text, " ", "T"), F.lit("Z")))
-        .when(F.col("k") % 3 == 1, F.substring(text, 1, 19))
-        .otherwise(F.concat(text, F.lit("+00:00")))
-    )
-    return _keyed(spark, sf_dir).select(
-        F.lit("customer_event").alias("event_type"),
-        F.try_element_at(name, F.col("event_type")).alias("event_name"),
-        F.col("ts").alias("event_timestamp"),
-        F.when(F.col("k") < 50, GLOBAL_SHOP).otherwise("us.shop.example").alias("shop"),
-        F.concat(F.lit("https://shop.example/p/"), F.col("k").cast("string")).alias("page_url"),
-        pick(agent, AGENTS).alias("user_agent"),
-        F.col("visitor").alias("session_id"),
-        F.concat(F.lit("tenant_"), (F.col("user_id") % 4).cast("string")).alias("client_id"),
-        F.col("event_id").cast("string").alias("event_details_id"),
-        F.col("visitor").alias("event_details_clientid"),
-        processed.alias("processed_timestamp"),
-        F.col("value").alias("price_amount"),
-        F.lit("GBP").alias("price_currency"),
-        F.when(agent % 6 < 2, "mobile").otherwise("desktop").alias("device_type"),
-        F.when(agent % 6 == 0, "Safari").otherwise("Chrome").alias("browser"),
-        pick(agent, SYSTEMS).alias("os"),
-        pick(F.col("k"), SOURCES).alias("utm_source"),
-        pick(F.col("k"), MEDIUMS).alias("utm_medium"),
-        F.concat(F.lit("campaign_"), (F.col("k") % 3).cast("string")).alias("utm_campaign"),
-    )
+    return _view(spark, sf_dir, BROWSER_VIEW)
 
 
 def second_tracker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second tracker view, under that tracker's own column names."""
-    click = F.col("event_type") == "click"
-    name = (
-        F.when(click & (F.col("k") % 10 == 0), "Login")
-        .when(click & (F.col("k") % 10 == 1), "Search")
-        .when(click & (F.col("k") % 10 == 2), "emailSubscribe")
-        .when(click, "PageView")
-        .when(F.col("event_type") == "view", "ViewContent")
-        .when(F.col("event_type") == "signup", "AddToCart")
-        .when(F.col("event_type") == "error", "InitiateCheckout")
-        .otherwise("Purchase")
-    )
-    agent = F.floor(F.col("user_id") / 4).cast("bigint")
-    return _keyed(spark, sf_dir).select(
-        F.concat(F.lit("tenant_"), (F.col("user_id") % 4).cast("string")).alias("client_id"),
-        F.col("visitor").alias("session_id"),
-        F.col("ts").alias("event_datetime"),
-        name.alias("event_name"),
-        F.when(agent % 6 < 2, "mobile").otherwise("desktop").alias("device_platform"),
-        F.when(agent % 6 == 0, "Safari").otherwise("Chrome").alias("browser_name"),
-        pick(agent, SYSTEMS).alias("os_name"),
-        pick(F.col("k"), COUNTRIES).alias("country_name"),
-        pick(F.col("k"), SOURCES).alias("search_utm_source"),
-        pick(F.col("k"), MEDIUMS).alias("search_utm_medium"),
-        F.concat(F.lit("content_"), (F.col("k") % 2).cast("string")).alias("search_utm_content"),
-        F.concat(F.lit("term_"), (F.col("k") % 4).cast("string")).alias("search_utm_term"),
-    )
+    return _view(spark, sf_dir, SECOND_VIEW)

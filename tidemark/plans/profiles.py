@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -79,19 +80,22 @@ class Profile:
         lists: dict[str, list[str]] = {}
         for r in self.member_rows():
             lists.setdefault(f"{r['metric']}/{r['dim']}", []).append(r["member"])
-        pairs = [x for k, v in lists.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in v]))]
-        return F.try_element_at(F.create_map(*pairs), F.concat_ws("/", metric, dim))
+        table = constant(lists, "map<string,array<string>>")
+        return F.try_element_at(table, F.concat_ws("/", metric, dim))
 
     def places_of(self, metric: Column) -> Column:
         """Array of ``(dim, member, ord)`` below the metric's top level."""
-        places: dict[str, list[Column]] = {}
+        places: dict[str, list[dict]] = {}
         for r in self.member_rows():
             if r["dim"] != TOTAL:
-                places.setdefault(r["metric"], []).append(F.struct(
-                    F.lit(r["dim"]).alias("dim"), F.lit(r["member"]).alias("member"),
-                    F.lit(r["ord"]).alias("ord")))
-        pairs = [x for k, v in places.items() for x in (F.lit(k), F.array(*v))]
-        return F.try_element_at(F.create_map(*pairs), metric)
+                places.setdefault(r["metric"], []).append({k: r[k] for k in ("dim", "member", "ord")})
+        return F.try_element_at(
+            constant(places, "map<string,array<struct<dim:string,member:string,ord:int>>>"), metric)
+
+
+def constant(value, schema: str) -> Column:
+    """Config value as a column; the optimizer folds it to a literal."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
@@ -101,10 +105,8 @@ def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> Dat
 
 def each_of(rows: list[dict]) -> Column:
     """Array column with one struct per config row, to be exploded next to each data row."""
-    def value(v) -> Column:
-        return F.lit(v) if isinstance(v, str) else F.lit(v).cast("int")
-
-    return F.array(*[F.struct(*[value(v).alias(k) for k, v in r.items()]) for r in rows])
+    kinds = {k: "string" if isinstance(v, str) else "int" for k, v in rows[0].items()}
+    return constant(rows, f"array<struct<{','.join(f'{k}:{v}' for k, v in kinds.items())}>>")
 
 
 def metric_table(spark: SparkSession, profile: Profile) -> DataFrame:
