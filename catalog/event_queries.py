@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from tidemark.operators import select as S
 from tidemark.plans import kpi_engine as E
 from tidemark.plans.default_config import AGENT_RULES, DEVICE_MAPPING, default_config
 from tidemark.plans.profiles import SECOND_REGISTRY, member_table
-from tidemark.sources.config import load_config
+from tidemark.sources.config import parse_config
 from tidemark.sources.events import CORE_COLUMNS, EVENT_SCHEMA, check_columns, from_second_tracker
 from tidemark.sources.sinks import read_kpi_csv, write_report_csv
 from tidemark.sources.work import WorkTables
@@ -401,11 +400,8 @@ def pivot_final_order(spark, sf_dir):
     + (f"event_name = {text(k['calculation']['filter']['value'])}" if k["calculation"]["filter"] else "TRUE")
     for n, k in KPI_CONFIG["kpis"].items()))
 def kpi_config(spark, sf_dir):
-    """Events that each KPI of a configuration read from its JSON file selects."""
-    with tempfile.NamedTemporaryFile("w", suffix=".json") as file:
-        json.dump(KPI_CONFIG, file)
-        file.flush()
-        config = load_config(file.name)
+    """Events that each KPI of a configuration, parsed and checked from JSON, selects."""
+    config = parse_config(json.dumps(KPI_CONFIG))
     events = T.browser_events(spark, sf_dir)
     flags = {n: E.kpi_filter(k) for n, k in config["kpis"].items()}
     counts = events.agg(*[F.count_if(F.lit(True) if c is None else c).alias(n) for n, c in flags.items()])

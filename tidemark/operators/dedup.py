@@ -12,17 +12,15 @@ def earliest_per_key(df: DataFrame, keys, time: str, keep) -> DataFrame:
     Rows without a time are left out.  Rows of one key at the very same time are ordered by
     the kept columns, so the outcome never depends on file order or on event ids.
 
-    The first grouping is by key *and* kept columns, with a plain minimum: it hashes and
-    combines before the shuffle, so a key that holds a third of all rows leaves each map
-    task as a handful of rows.  Only those reach the second grouping.
+    One aggregate with one shuffle.  Each map task sends a single row per key, so a key that
+    holds a third of all rows weighs no more than any other.
     """
     keys, keep = list(keys), [c for c in keep if c not in keys]
-    seen = (
+    first = (
         df.where(F.col(time).isNotNull())
-        .groupBy(*keys, *keep)
-        .agg(F.min(time).alias(time))
+        .groupBy(*keys)
+        .agg(F.min(F.struct(time, *keep)).alias("first_row"))
     )
-    first = seen.groupBy(*keys).agg(F.min(F.struct(time, *keep)).alias("first_row"))
     return first.select(*keys, "first_row.*")
 
 

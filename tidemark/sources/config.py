@@ -15,7 +15,11 @@ FIRST_AGGREGATIONS = ("min", "first")
 
 def load_config(path: str) -> dict:
     with open(path, encoding="utf-8") as source:
-        return validate(json.load(source))
+        return parse_config(source.read())
+
+
+def parse_config(text: str) -> dict:
+    return validate(json.loads(text))
 
 
 def validate(config: dict) -> dict:
