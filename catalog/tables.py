@@ -103,7 +103,7 @@ def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFram
 
 
 def browser_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Browser-pixel tracker view."""
+    """first tracker view."""
     return _view(spark, sf_dir, BROWSER_VIEW)
 
 

@@ -120,7 +120,7 @@ def member_table(spark: SparkSession, profile: Profile, totals: bool = True) ->
         ("metric", pa.string()), ("dim", pa.string()), ("member", pa.string()), ("ord", pa.int32())]))
 
 
-# Metrics, priorities, funnel order and members of the browser-pixel tracker.
+# Metrics, priorities, funnel order and members of the first tracker.
 BROWSER_METRICS = (
     Metric("landing_page_viewers", "page_viewed", "session", session_dims=("source", "medium"),
            top_level_from="source", priority=2, funnel_rank=1),
