@@ -3,9 +3,9 @@
 A byte is removed if it lies in a string of ``length`` bytes that also starts anywhere else, in
 the same text or another; strings are judged on the input.
 
-Strings meet through anchors: of the ``length // 4``-byte grams of every such string, those of the
+Strings meet through anchors: of the grams (half of ``length``) of every such string, those of the
 least hash are anchors, so equal strings have equal anchors at equal places and every string has one
-(about one byte in ``length * 3 / 8`` is an anchor).  An anchor's context is what strings through it
+(about one byte in ``length / 4`` is an anchor).  An anchor's context is what strings through it
 can reach.  Anchors are counted by (gram, context):
 
 * a context found twice is repeated as a whole;
@@ -15,8 +15,9 @@ can reach.  Anchors are counted by (gram, context):
   extensions are checked byte by byte.  Two contexts share the string that begins ``d`` bytes
   before the anchor if they agree in ``d`` bytes before and ``length - d`` from the anchor on, which
   the sorted orders tell for all contexts of a gram and each ``d``;
-* a gram with over ``GROUP`` contexts is not gathered in one task: the hash of each string through
-  it is counted instead.
+* a gram with over ``GROUP`` contexts is not gathered in one task.  Its contexts are looked at as
+  texts of their own, with longer grams (three quarters of ``length``), which tell most of them
+  apart; for a long gram that still has over ``GROUP`` contexts the hashes of the strings are counted.
 
 Rows are identified by ``doc_id`` and a hash of the text; rows alike in both are separate occurrences.
 """
@@ -35,7 +36,7 @@ from tidemark.llm import text as T
 from tidemark.llm.shared import Work, packed
 
 #: Contexts of a gram that one task sorts; contexts sorted at once.
-GROUP, SORTED_AT_ONCE = 1024, 8192
+GROUP, SORTED_AT_ONCE = 4096, 4096
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -53,9 +54,11 @@ def _least_in_window(values: np.ndarray, width: int, least=np.minimum) -> np.nda
     return least(right[:len(values) - width + 1], left[width - 1:len(values)])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Places of the anchors, their texts, grams, contexts and the bounds of the contexts."""
-    gram = max(1, length // 4)
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, scope=None, origin=None):
+    """Places of the anchors, their texts, grams, contexts and the bounds of the contexts.
+
+    With ``scope`` and ``origin`` (of each text) only grams of one scope and place from the origin are equal.
+    """
     width = length - gram + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -74,34 +77,43 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     low = np.maximum(offsets[text], place - (length - gram))
     high = np.minimum(offsets[text + 1], place + length)
     context = T.mix(T.substring_hashes(prefix, low, high) + (place - low).astype(np.uint64) * np.uint64(T.BASE))
-    return place, text, hashes[place], context, low, high, prefix
+    grams = hashes[place]
+    if scope is not None:
+        grams = T.mix(T.mix(grams + (place - offsets[text] - origin[text]).astype(np.uint64)) + scope.view(np.uint64)[text])
+    return place, text, grams, context, low, high, prefix
+
 
+def _scoped(batch: pa.RecordBatch) -> tuple:
+    """Scope and origin of the rows, where they have them."""
+    at = batch.schema.get_field_index("scope")
+    return () if at < 0 else (batch.column(at).to_numpy(), batch.column(at + 1).to_numpy())
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``key, place, gram, context`` of every anchor of rows ``key, text``."""
+
+def _anchor_rows(docs: DataFrame, length: int, size: int) -> DataFrame:
+    """``key, place, gram, context`` of every anchor of rows ``key, text`` and maybe ``scope, origin``."""
 
     def run(batches):
         for batch, data, offsets in T.slices(batches):
-            place, text, gram, context, _, _, _ = anchors(data, offsets, length)
+            place, text, gram, context, _, _, _ = anchors(data, offsets, length, size, *_scoped(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), pa.array((place - offsets[text]).astype(np.int32)),
                  pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["key", "place", "gram", "context"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, place int, gram long, context long")
+    return docs.mapInArrow(run, "key long, place int, gram long, context long")
 
 
-def _contexts(docs: DataFrame, length: int, strings: bool) -> DataFrame:
-    """Of rows ``key, text, wanted`` (arrays of gram and context): the wanted contexts.
+def _contexts(docs: DataFrame, length: int, size: int, strings: bool) -> DataFrame:
+    """The wanted contexts (arrays of gram and context in ``wanted``) of rows as for ``_anchor_rows``.
 
     Either ``gram, context, before, after`` (bytes before the anchor, and from it on), or, one row for
     each string through the anchor, ``gram, context, d, string`` (its hash).
     """
-    reach = length - max(1, length // 4)
+    reach = length - size
 
     def run(batches):
         for batch, data, offsets in T.slices(batches):
-            place, text, gram, context, low, high, prefix = anchors(data, offsets, length)
-            wanted = batch.column(2)
+            place, text, gram, context, low, high, prefix = anchors(data, offsets, length, size, *_scoped(batch))
+            wanted = batch.column(batch.schema.get_field_index("wanted"))
             lengths = np.diff(wanted.offsets.to_numpy())
             pairs = wanted.flatten()
             code = [T.mix(pairs.field(i).to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(i)) for i in (0, 1)]
@@ -129,7 +141,7 @@ def _contexts(docs: DataFrame, length: int, strings: bool) -> DataFrame:
                      pa.array([raw[a:b] for a, b in zip(place, high)], pa.binary())], ["gram", "context", "before", "after"])
 
     shape = "d int, string long" if strings else "before binary, after binary"
-    return docs.select("key", "text", "wanted").mapInArrow(run, f"gram long, context long, {shape}")
+    return docs.mapInArrow(run, f"gram long, context long, {shape}")
 
 
 class Strings:
@@ -198,9 +210,9 @@ class Strings:
         return n
 
 
-def repeated_contexts(group: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_contexts(group: np.ndarray, before: list[bytes], after: list[bytes], length: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest ``d`` whose string each context shares with another of its group; -1 for none."""
-    reach = length - max(1, length // 4)
+    reach = length - size
     back, onward = Strings([b[::-1] for b in before]), Strings(after)
     least, most = np.full(len(group), -1), np.full(len(group), -1)
     orders = []
@@ -222,13 +234,13 @@ def repeated_contexts(group: np.ndarray, before: list[bytes], after: list[bytes]
     return least, most
 
 
-def _sorted(contexts: DataFrame, length: int) -> DataFrame:
+def _sorted(contexts: DataFrame, length: int, size: int) -> DataFrame:
     """``gram, context, least, most`` of the contexts that share a string with another of their gram."""
 
     def run(batches):
         def found(rows):
             gram, context = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-            least, most = repeated_contexts(np.unique(gram, return_inverse=True)[1], [r[2] for r in rows], [r[3] for r in rows], length)
+            least, most = repeated_contexts(np.unique(gram, return_inverse=True)[1], [r[2] for r in rows], [r[3] for r in rows], length, size)
             at = np.flatnonzero(most >= 0)
             return pa.RecordBatch.from_arrays(
                 [pa.array(gram[at]), pa.array(context[at]), pa.array(least[at].astype(np.int32)), pa.array(most[at].astype(np.int32))],
@@ -249,32 +261,48 @@ def _sorted(contexts: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram long, context long, least int, most int")
 
 
-def repeat_spans(docs: DataFrame, length: int, work: Work) -> DataFrame:
-    """``key, spans`` of the rows (``key, text``) with repeats: places and ends of runs through anchors."""
-    gram = max(1, length // 4)
-    reach = length - gram
-    rows = _anchor_rows(docs, length)
+def _find(texts: DataFrame, length: int, size: int, work: Work, name: str) -> tuple[DataFrame, DataFrame]:
+    """Anchors ``key, place, gram, context`` of the texts, and ``gram, context, low, high``: parts of the
+    repeated contexts, from the anchor's place, that are covered by repeated strings."""
+    reach = length - size
+    rows = _anchor_rows(texts, length, size)
     counted = rows.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
     counted = counted.withColumn("contexts", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("n > 1 or contexts > 1")
-    classes = work.keep(counted, "contexts")
+    classes = work.keep(counted, f"{name}_contexts")
 
     wanted = classes.filter("contexts > 1").groupBy("key").agg(
         F.collect_list(F.when(F.col("contexts") <= GROUP, F.struct("gram", "context"))).alias("small"),
         F.collect_list(F.when(F.col("contexts") > GROUP, F.struct("gram", "context"))).alias("large"))
-    wanted = work.keep(docs.join(wanted, "key"), "wanted")
-    small = _sorted(_contexts(wanted.filter("size(small) > 0").withColumnRenamed("small", "wanted"), length, False), length)
-    strings = work.keep(_contexts(wanted.filter("size(large) > 0").withColumnRenamed("large", "wanted"), length, True).distinct(), "strings")
-    # The same place of the same gram: a string meets itself at other anchors only.
-    place = ["gram", "d", "string"]
-    twice = strings.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*place)
-    large = strings.join(twice, place).groupBy("gram", "context").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    found = classes.filter("n > 1").select("gram", "context", F.lit(-1).alias("least"), F.lit(reach).alias("most"))
-    found = work.keep(small.unionByName(large).unionByName(found).groupBy("gram", "context").agg(
-        F.min("least").alias("least"), F.max("most").alias("most")), "found")
+    wanted = work.keep(texts.join(wanted, "key"), f"{name}_wanted")
+    small = _sorted(_contexts(wanted.filter("size(small) > 0").withColumnRenamed("small", "wanted").drop("large"), length, size, False), length, size)
+    large = wanted.filter("size(large) > 0").withColumnRenamed("large", "wanted").drop("small")
+    by_d = ["gram", "context", (-F.col("most")).alias("low"), (F.lit(length) - F.col("least")).alias("high")]
+    if 4 * size < 3 * length:
+        # Rows of several keys alike would count one context twice.
+        large = work.keep(_contexts(large, length, size, False).dropDuplicates(["gram", "context"]).select(
+            "gram", "context", F.xxhash64("gram", "context").alias("key"), F.concat("before", "after").alias("text"),
+            F.col("gram").alias("scope"), F.octet_length("before").cast("long").alias("origin")), f"{name}_large")
+        inner, parts = _find(large.select("key", "text", "scope", "origin"), length, 3 * length // 4, work, f"{name}_long")
+        inside = inner.join(parts, ["gram", "context"]).select("key", F.col("place") + F.col("low"), F.col("place") + F.col("high"))
+        large = large.join(inside.toDF("key", "low", "high"), "key").select(
+            "gram", "context", (F.greatest(F.lit(0), "low") - F.col("origin")).cast("int").alias("low"),
+            (F.least(F.octet_length("text"), "high") - F.col("origin")).cast("int").alias("high"))
+    else:
+        # The same place of the same gram: a string meets itself at other anchors only.
+        strings = work.keep(_contexts(large, length, size, True).distinct(), f"{name}_strings")
+        place = ["gram", "d", "string"]
+        twice = strings.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*place)
+        large = strings.join(twice, place).groupBy("gram", "context").agg(F.min("d").alias("least"), F.max("d").alias("most")).select(*by_d)
     # A context found twice reaches from its beginning to its end, which may be those of the text.
+    whole = classes.filter("n > 1").select("gram", "context", F.lit(-reach).alias("low"), F.lit(length).alias("high"))
+    return rows, work.keep(small.select(*by_d).unionByName(large).unionByName(whole), f"{name}_found")
+
+
+def repeat_spans(docs: DataFrame, length: int, work: Work) -> DataFrame:
+    """``key, spans`` of the rows (``key, text``) with repeats: places and ends of runs through anchors."""
+    rows, found = _find(docs, length, max(1, length // 2), work, "whole")
     covered = rows.join(found, ["gram", "context"]).select(
-        "key", F.greatest(F.lit(0), F.col("place") - F.col("most")).alias("low"),
-        (F.col("place") + length - F.greatest("least", F.lit(0))).alias("high"))
+        "key", F.greatest(F.lit(0), F.col("place") + F.col("low")).alias("low"), (F.col("place") + F.col("high")).alias("high"))
     return covered.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 

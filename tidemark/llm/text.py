@@ -56,10 +56,9 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and its offsets (nulls are empty)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """The bytes of a string or binary column and their offsets (nulls are empty)."""
+    column = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()) if pa.types.is_string(column.type)
+                          else column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
