@@ -9,8 +9,8 @@ agree in a register with a probability close to the sets' similarity.
 2. Each band of ``ROWS`` registers is a bucket key.  Every member of a bucket is paired with the
    bucket's least id; the pairs that stay after the joint likelihood are confirmed on whole sets.
 3. In buckets whose members are still in different components, every pair across components is
-   compared by registers, block against block, inside tasks; the pairs that pass are confirmed
-   as well.  So no pair that shares a bucket is left out, and no list of all pairs is made.
+   compared by registers, block against block, inside tasks, and by an exact bound on the members
+   in common; the pairs that pass are confirmed as well.  So no pair that shares a bucket is left out, and no list of all pairs is made.
 
 A pair at the threshold 0.8 shares no bucket with probability 5e-5, at 0.85 with 4e-7; that and a
 joint estimate over 5 standard deviations too low are the only ways to miss a link.
@@ -36,6 +36,8 @@ B, RATE, LEVELS = 1.02, 20.0, 4096
 BLOCK = 512
 #: Similarities below the threshold by so many standard deviations of the estimate are dismissed.
 SIGMAS = 5
+#: Members are counted in so many cells; sets differ in at least as many members as their counts do.
+CELLS = 512
 
 
 def _odd(n: int) -> np.ndarray:
@@ -122,19 +124,21 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``id, members`` (sorted hashes) of rows ``id, d1, d2, text`` whose set has that digest."""
+    """``id, members`` (sorted hashes) ``, counts`` (of the members in each cell) of rows ``id, d1, d2, text`` whose set has that digest."""
 
     def run(batches):
         for batch, data, offsets in T.slices(batches):
-            d1, d2, ids, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), [], []
+            d1, d2, ids, out, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), [], [], []
             for i, members in enumerate(T.shingle_sets(data, offsets, k)):
                 if (int(members.sum(dtype=np.uint64).astype(np.int64)) == d1[i]
                         and int((T.mix(members) * members).sum(dtype=np.uint64).astype(np.int64)) == d2[i]):
                     ids.append(batch.column(0)[i].as_py())
                     out.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "members"])
+                    counts.append(np.minimum(np.bincount((members % np.uint64(CELLS)).astype(int), minlength=CELLS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(counts, pa.binary())],
+                                             ["id", "members", "counts"])
 
-    return docs.select("id", "d1", "d2", "text").mapInArrow(run, "id long, members binary")
+    return docs.select("id", "d1", "d2", "text").mapInArrow(run, "id long, members binary, counts binary")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         run, "a long, b long")
 
 
-def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of different components that share a bucket: rows ``key, id, component``.
 
     A component with over BLOCK members of a bucket has blocks of its own, the others share
@@ -189,9 +193,9 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("part", F.when(F.col("size").isNull(), F.pmod(F.xxhash64("component"), F.ceil(F.col("pool") / BLOCK)))
                     .otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))))
         .withColumn("home", F.when(F.col("size").isNull(), F.lit(-1)).otherwise(F.col("component")))
-        .join(classes.select("id", "n", "regs"), "id"))
+        .join(classes.select("id", "n", "regs"), "id").join(sets.select("id", "counts").dropDuplicates(["id"]), "id"))
     blocks = placed.groupBy("key", "home", "part").agg(
-        F.collect_list(F.struct("id", "component", "n", "regs")).alias("m"),
+        F.collect_list(F.struct("id", "component", "n", "regs", "counts")).alias("m"),
         F.min("component").alias("low"), F.max("component").alias("high"))
     blocks = blocks.withColumn("block", F.struct("home", "part"))
     x, y = blocks.alias("x"), blocks.alias("y")
@@ -204,12 +208,16 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 left, right = (t.column(c).slice(i, 1).flatten() for c in (0, 1))
                 (id_a, c_a, n_a), (id_b, c_b, n_b) = ([s.field(f).to_numpy() for f in ("id", "component", "n")] for s in (left, right))
                 regs_a, regs_b = _rows(left.field("regs")), _rows(right.field("regs"))
+                cells_a, cells_b = (_binary(s.field("counts"))[0].reshape(-1, CELLS).astype(np.int16) for s in (left, right))
                 out = []
                 for p in range(len(id_a)):
                     near = np.flatnonzero(
                         (c_b != c_a[p]) & (100 * np.minimum(n_b, n_a[p]) >= percent * np.maximum(n_b, n_a[p])))
                     # Registers agree at least as often as members do, so this dismisses none that the estimate keeps.
                     near = near[(regs_b[near] == regs_a[p]).sum(1) >= REGISTERS * _least(percent)]
+                    apart = np.abs(cells_b[near] - cells_a[p]).sum(1, dtype=np.int64)
+                    both = (n_b[near] + n_a[p] - apart) // 2  # members in common, at most
+                    near = near[100 * both >= percent * (n_b[near] + n_a[p] - both)]
                     if len(near):
                         q = near[plausible(np.broadcast_to(regs_a[p], (len(near), REGISTERS)), regs_b[near],
                                            np.full(len(near), n_a[p]), n_b[near], percent)]
@@ -254,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     mixed = work.keep(placed.join(mixed.select("key"), "key"), "mixed")
-    across = _confirmed(_across(mixed, classes, percent), sets, percent)
+    across = _confirmed(_across(mixed, classes, sets, percent), sets, percent)
     joined = (across.join(first.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left")
               .join(first.select(F.col("id").alias("b"), F.col("component").alias("d")), "b", "left")
               .select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b")).distinct())
