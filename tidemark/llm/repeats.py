@@ -36,7 +36,7 @@ from tidemark.llm import text as T
 from tidemark.llm.shared import Work, packed
 
 #: Contexts of a gram that one task sorts; contexts sorted at once.
-GROUP, SORTED_AT_ONCE = 4096, 4096
+GROUP, SORTED_AT_ONCE = 16_384, 2_048
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -62,7 +62,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, scope
     width = length - gram + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64), none, none, None
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none, None, None, None
     prefix = T.prefix_hashes(data)
     at = np.arange(len(data) - gram + 1)
     hashes = T.substring_hashes(prefix, at, at + gram)
@@ -80,7 +80,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, scope
     grams = hashes[place]
     if scope is not None:
         grams = T.mix(T.mix(grams + (place - offsets[text] - origin[text]).astype(np.uint64)) + scope.view(np.uint64)[text])
-    return place, text, grams, context, low, high, prefix
+    return place, text, grams, context, low, high, prefix, hashes, least
 
 
 def _scoped(batch: pa.RecordBatch) -> tuple:
@@ -94,7 +94,7 @@ def _anchor_rows(docs: DataFrame, length: int, size: int) -> DataFrame:
 
     def run(batches):
         for batch, data, offsets in T.slices(batches):
-            place, text, gram, context, _, _, _ = anchors(data, offsets, length, size, *_scoped(batch))
+            place, text, gram, context, *_ = anchors(data, offsets, length, size, *_scoped(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), pa.array((place - offsets[text]).astype(np.int32)),
                  pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["key", "place", "gram", "context"])
@@ -112,7 +112,7 @@ def _contexts(docs: DataFrame, length: int, size: int, strings: bool) -> DataFra
 
     def run(batches):
         for batch, data, offsets in T.slices(batches):
-            place, text, gram, context, low, high, prefix = anchors(data, offsets, length, size, *_scoped(batch))
+            place, text, gram, context, low, high, prefix, hashes, least = anchors(data, offsets, length, size, *_scoped(batch))
             wanted = batch.column(batch.schema.get_field_index("wanted"))
             lengths = np.diff(wanted.offsets.to_numpy())
             pairs = wanted.flatten()
@@ -129,7 +129,10 @@ def _contexts(docs: DataFrame, length: int, size: int, strings: bool) -> DataFra
                 for i in range(0, len(chosen), 1024):
                     s = slice(i, i + 1024)
                     start = place[s, None] - np.arange(reach + 1)[None]
-                    row, d = np.nonzero((start >= low[s, None]) & (start + length <= high[s, None]))
+                    inside = (start >= low[s, None]) & (start + length <= high[s, None])
+                    # A string goes by its least gram alone, which depends on nothing but the string.
+                    inside &= least[np.clip(start, 0, len(least) - 1)] == hashes[place[s]][:, None]
+                    row, d = np.nonzero(inside)
                     start = start[row, d]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(g[s][row]), pa.array(c[s][row]), pa.array(d.astype(np.int32)),
