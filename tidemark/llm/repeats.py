@@ -286,8 +286,10 @@ def _find(texts: DataFrame, length: int, size: int, work: Work, name: str) -> tu
             "gram", "context", F.xxhash64("gram", "context").alias("key"), F.concat("before", "after").alias("text"),
             F.col("gram").alias("scope"), F.octet_length("before").cast("long").alias("origin")), f"{name}_large")
         inner, parts = _find(large.select("key", "text", "scope", "origin"), length, 3 * length // 4, work, f"{name}_long")
-        inside = inner.join(parts, ["gram", "context"]).select("key", F.col("place") + F.col("low"), F.col("place") + F.col("high"))
-        large = large.join(inside.toDF("key", "low", "high"), "key").select(
+        # All these strings hold the gram at the origin, so together they are one part of the context.
+        inside = inner.join(parts, ["gram", "context"]).groupBy("key").agg(
+            F.min(F.col("place") + F.col("low")).alias("low"), F.max(F.col("place") + F.col("high")).alias("high"))
+        large = large.join(inside, "key").select(
             "gram", "context", (F.greatest(F.lit(0), "low") - F.col("origin")).cast("int").alias("low"),
             (F.least(F.octet_length("text"), "high") - F.col("origin")).cast("int").alias("high"))
     else:
