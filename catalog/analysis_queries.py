@@ -259,7 +259,7 @@ SELECT *, hour(ds) AS time_hour FROM (
 WHERE visitors_anomaly IS NOT NULL""")
 def merged_wide(spark, sf_dir):
     a = browser(spark, sf_dir)
-    wide = R.merged_wide(a.scored, a.hour_report, a.member_rows, MERGED)
+    wide = R.merged_wide(a.scored, a.member_rows, MERGED)
     return wide.withColumn("anomalous_metrics", joined("anomalous_metrics", ", "))
 
 

@@ -199,7 +199,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {panel} ORDER BY distance, ds) -
     count(*) OVER w AS n, min(distance) OVER w AS low, max(distance) OVER w AS high
   FROM nn_{t} WHERE distance IS NOT NULL WINDOW w AS (PARTITION BY {panel}))""",
         f"eps_{t}": f"""
-SELECT {panel}, max(CASE WHEN rn = 1 AND n >= 3 AND high > low THEN distance END) AS eps
+SELECT {panel}, max(CASE WHEN rn = 1 AND high > low THEN distance END) AS eps
 FROM (SELECT *, row_number() OVER (PARTITION BY {panel} ORDER BY below DESC, i) AS rn FROM knee_{t})
 GROUP BY {panel}""",
         f"cluster_{t}": f"""

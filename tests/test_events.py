@@ -241,3 +241,34 @@ def test_work_folder_is_the_one_the_session_names(spark):
     if named:
         assert shared_folder(spark) == named.rstrip("/")
     assert WorkTables(spark, "/x/").folder.startswith("/x/tidemark-")
+
+
+@pytest.mark.parametrize("pivot", [{}, {"members": ["Mobile"]}])
+def test_total_counts_rows_without_a_listed_member(spark, pivot):
+    from tidemark.plans.kpi_engine import can_be_null, kpi_wide
+
+    long = spark.createDataFrame(
+        [("orders", "device", m, "2025-02-24 01:00:00", n) for m, n in (("Mobile", 2), ("Other", 3), (None, 4))],
+        "kpi string, dim string, member string, time string, n long").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    step = {"type": "when_then", "conditions": [{"condition": "eq('m')", "value": "Mobile"}], "default": None}
+    spec = {"name": "device", "source_column": "x", "transformations": [step]}
+    config = {"kpis": {"orders": {"dimensions": {"device": spec}}}, "pivot_configs": {"device": pivot}, "mappings": {}}
+    row = kpi_wide(long, "orders", "device", config).first()
+    assert (row["Mobile"], row["null"], row["Total"]) == (2, 4, 9) and can_be_null(spec, config)
+
+
+def test_only_the_word_device_keeps_the_value(spark):
+    from tidemark.plans.kpi_engine import dimension_column
+
+    step = {"type": "when_then", "conditions": [{"condition": "eq('a')", "value": "A"}], "default": "Other"}
+    spec = {"name": "Other", "source_column": "x", "transformations": [step]}
+    data = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
+    assert [r[0] for r in data.select(dimension_column(spec, {"mappings": {}})).collect()] == ["A", "Other", "Other"]
+
+
+@pytest.mark.parametrize("key, value", [("index", ["time_hour"]), ("values", "price"), ("aggregate_function", "max")])
+def test_unsupported_pivot_settings_are_refused(key, value):
+    config = copy.deepcopy(default_config("my-global-shop.example"))
+    next(iter(config["pivot_configs"].values()))[key] = value
+    with pytest.raises(ValueError, match=key):
+        validate(config)

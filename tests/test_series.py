@@ -140,7 +140,6 @@ def test_knee(spark):
         return found and found.eps
 
     assert eps([0.1, 0.1, 0.2, 0.2, 5.0]) == 0.2
-    assert eps([0.1, 5.0]) is None
     assert eps([1, 1, 1, 1]) is None
 
 

@@ -26,7 +26,7 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
     standard deviation of what is left.  A series of one point expects itself.
 
     All windows partition by the series or by more than it, so one shuffle serves them all,
-    and two sorts: by series and hour of day, then by series and weekday.  A series has one
+    and two sorts: by series, hour of day and hour (so sums are taken in one order), then by weekday.  A series has one
     row per hour, whatever the number of events behind it.
     """
     whole = Window.partitionBy(*keys)
@@ -37,7 +37,7 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
     # the adaptive planner, which would put too many series into one task.
     partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        timed.repartition(partitions, *keys).sortWithinPartitions(*keys, "hour_of_day")
+        timed.repartition(partitions, *keys).sortWithinPartitions(*keys, "hour_of_day", "ds")
         .withColumn("start", F.min("ds").over(whole))
         .withColumn("long_enough",
                     whole_hours(F.col("start"), F.max("ds").over(whole)) >= weekday_days * 24)

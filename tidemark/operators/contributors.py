@@ -14,9 +14,8 @@ from tidemark.plans.profiles import Profile
 
 PANEL = ("tenant", "metric", "dim")
 
-# Share of the knee distance that links two members, fewest hours for a knee.
+# Fixed value: share of the knee distance that links two members.
 LINK_FACTOR = 0.5
-KNEE_POINTS = 3
 
 
 def anomalous_hours(scored: DataFrame) -> DataFrame:
@@ -82,9 +81,9 @@ def nn_distance(vectors: DataFrame) -> DataFrame:
     return found.withColumn("distance", rounded(F.when(~F.isnan("distance"), F.col("distance"))))
 
 
-def knee_eps(distances: DataFrame, points: int = KNEE_POINTS) -> DataFrame:
+def knee_eps(distances: DataFrame) -> DataFrame:
     """Knee of each panel's sorted distances: the one farthest below the straight line from
-    the smallest to the largest.  Null with fewer than ``points`` hours or no spread."""
+    the smallest to the largest.  Null without spread."""
     panel = Window.partitionBy(*PANEL)
     ranked = distances.where(F.col("distance").isNotNull()).select(
         *PANEL, "distance",
@@ -94,7 +93,7 @@ def knee_eps(distances: DataFrame, points: int = KNEE_POINTS) -> DataFrame:
         F.max("distance").over(panel).alias("high"))
     below = F.col("i") / F.nullif(F.col("n") - 1, F.lit(0)) - (
         F.col("distance") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    usable = (F.col("n") >= points) & (F.col("high") > F.col("low"))
+    usable = F.col("high") > F.col("low")
     return (
         ranked.withColumn("below", F.round(below, 9))
         .groupBy(*PANEL)

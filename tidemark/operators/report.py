@@ -145,7 +145,7 @@ def percent_diff_at(points: DataFrame, scored: DataFrame) -> DataFrame:
     return points.join(top, ["tenant", "metric", "ds"], "left")
 
 
-def merged_wide(scored: DataFrame, hour_report: DataFrame, member_rows: list[dict],
+def merged_wide(scored: DataFrame, member_rows: list[dict],
                 metrics=("visitors", "orders", "buyers")) -> DataFrame:
     """Flags, values, percent differences and member contributions of the chosen metrics
     side by side, for hours the first metric has, with the list of anomalous metrics."""

@@ -32,9 +32,8 @@ def dimension_column(spec: dict, config: dict) -> Column:
         if step.get("type") != "when_then":
             raise ValueError(f"unknown transformation {step.get('type')!r}")
         default = step.get("default")
-        own = default in (KEEP_OWN_VALUE, spec["name"])
         branches = [(condition_column(value, c["condition"]), c["value"]) for c in step["conditions"]]
-        value = when_then(branches, value if own else F.lit(default))
+        value = when_then(branches, value if default == KEEP_OWN_VALUE else F.lit(default))
     name = spec.get("mapping")
     if name:
         if name not in config["mappings"]:
@@ -47,7 +46,7 @@ def dimension_column(spec: dict, config: dict) -> Column:
 def dimension_members(spec: dict, config: dict) -> list[str] | None:
     """Members a dimension can have, in config order; None when it copies its source."""
     steps = spec.get("transformations", [])
-    if not steps or steps[-1].get("default") in (KEEP_OWN_VALUE, spec["name"]):
+    if not steps or steps[-1].get("default") == KEEP_OWN_VALUE:
         return None
     values = [c["value"] for c in steps[-1]["conditions"]] + [steps[-1].get("default")]
     mapping = config["mappings"].get(spec.get("mapping"), {})
@@ -56,6 +55,12 @@ def dimension_members(spec: dict, config: dict) -> list[str] | None:
     return list(dict.fromkeys(v for v in named if v is not None))
 
 
+def can_be_null(spec: dict, config: dict) -> bool:
+    """Whether the last rule of a dimension leaves values without a member."""
+    steps, mapping = spec.get("transformations", []), config["mappings"].get(spec.get("mapping"), {})
+    return bool(steps) and steps[-1].get("default") is None and mapping.get("default") is None
+
+
 def kpi_filter(kpi: dict) -> Column | None:
     condition = kpi["calculation"].get("filter")
     return predicate(condition["column"], condition["operator"], condition["value"]) if condition else None
@@ -202,18 +207,21 @@ def kpi_long(events: DataFrame, config: dict, by=()) -> DataFrame:
 def kpi_wide(long: DataFrame, kpi: str, dim: str, config: dict, by=(), fill: int | None = 0) -> DataFrame:
     """One configured table: pivoted members, ``Total``, renamed and ordered columns.
 
-    Members come from the config; for a dimension that copies its source, from the data.
+    Members come from the config; for a dimension that copies its source, from the data.  Rows of
+    no member have a column ``null`` where the config can leave them without one, and ``Total``
+    counts every row, also those of members that are not listed.
     """
     spec, pivot = config["kpis"][kpi]["dimensions"][dim], config["pivot_configs"][dim]
     index = [F.col("time").alias("time_truncated"), F.hour("time").alias("time_hour")]
     rows = long.where((F.col("kpi") == kpi) & (F.col("dim") == dim))
     members = pivot.get("members") or dimension_members(spec, config)
-    wide = rows.groupBy(*by, *index).pivot("member", members).agg(F.sum("n"))
-    names = [c for c in wide.columns if c not in (*by, "time_truncated", "time_hour")]
-    total = F.lit(0).cast("bigint")
-    for name in names:
-        total = total + F.coalesce(F.col(f"`{name}`"), F.lit(0))
-    wide = wide.withColumn("Total", total)
+    if members is None:
+        members = sorted((r.member for r in rows.select("member").distinct().collect()), key=lambda m: (m is not None, m))
+    elif can_be_null(spec, config) and None not in members:
+        members = [*members, None]
+    names = ["null" if m is None else m for m in members]
+    columns = [F.sum(F.when(F.col("member").eqNullSafe(F.lit(m)), F.col("n"))).alias(name) for m, name in zip(members, names)]
+    wide = rows.groupBy(*by, *index).agg(*columns, F.sum("n").alias("Total"))
     if fill is not None:
         wide = wide.na.fill(fill, subset=[f"`{n}`" for n in names])
     return final_order(wide.withColumnsRenamed(pivot.get("rename_columns", {})),

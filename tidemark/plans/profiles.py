@@ -94,13 +94,14 @@ class Profile:
 
 
 def constant(value, schema: str) -> Column:
-    """Config value as a column; the optimizer folds it to a literal."""
+    """Config value as a column: nested values have no literal of their own, so they are written
+    as JSON, which the optimizer folds to one."""
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
-    """Local table of config rows, marked for broadcast: its size is fixed by the profile."""
-    return F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema)))
+    """Local table of config rows; the planner sees how small it is."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
 def each_of(rows: list[dict]) -> Column:

@@ -22,6 +22,10 @@ def parse_config(text: str) -> dict:
     return validate(json.loads(text))
 
 
+#: The settings of a pivot that are honoured; others are refused rather than ignored.
+PIVOT_SETTINGS = {"index": ["time_truncated", "time_hour"], "values": "count", "aggregate_function": "sum"}
+
+
 def validate(config: dict) -> dict:
     """Return the config; raise ``ValueError`` naming the missing or unknown value.
 
@@ -36,6 +40,10 @@ def validate(config: dict) -> dict:
         raise ValueError(f"unknown time_truncate_unit {unit!r}, expected one of {TRUNCATE_UNITS}")
     for name, kpi in config["kpis"].items():
         _check_kpi(name, kpi, config)
+    for dim, pivot in config["pivot_configs"].items():
+        for key, only in PIVOT_SETTINGS.items():
+            if pivot.get(key, only) != only:
+                raise ValueError(f"pivot_configs.{dim}: {key} {pivot[key]!r} is not supported, only {only!r}")
     return config
 
 
