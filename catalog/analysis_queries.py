@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def second(spark, sf_dir) -> Analysis:
     return Analysis(second_events(spark, sf_dir), SECOND)
 
 
+def on_second(counterpart: str) -> str:
+    """The SQL of a first-tracker query over the tables of the second one."""
+    return re.sub(r"_b\b", "_s", counterpart)
+
+
 # --- series ----------------------------------------------------------------------------------
 
 @query("seasonal_baseline", f"SELECT {FORECAST} FROM forecast_b")
@@ -206,10 +213,13 @@ def second_tracker_report(spark, sf_dir):
     return _flat_contributors(R.wide_report(second(spark, sf_dir).hour_report, S_METRICS), S_METRICS)
 
 
-@query("anomaly_report_dims", "SELECT tenant, ds AS hour, " + ", ".join(
+MEMBER_COLUMNS = ", ".join(
     f"max(CASE WHEN metric = {text(r['metric'])} AND dim = {text(r['dim'])} AND member = {text(r['member'])} "
     f"THEN percent_diff END) AS \"{r['metric']}_{r['dim']}_{r['member']}_percent_diff\""
-    for r in BROWSER.member_rows(totals=False)) + " FROM mr_b GROUP BY ALL")
+    for r in BROWSER.member_rows(totals=False))
+
+
+@query("anomaly_report_dims", f"SELECT tenant, ds AS hour, {MEMBER_COLUMNS} FROM mr_b GROUP BY ALL")
 def anomaly_report_dims(spark, sf_dir):
     a = browser(spark, sf_dir)
     return R.wide_member_report(a.member_report, a.member_rows)
@@ -225,17 +235,26 @@ def top_event_per_hour(spark, sf_dir):
     return browser(spark, sf_dir).top.withColumn("contributors", joined("contributors"))
 
 
-@query("metric_summary", """
+METRIC_SUMMARY = """
 SELECT c.tenant, c.metric, c.anomalies, n.member AS top_contributor, n.n AS occurrences
 FROM (SELECT tenant, metric, CAST(sum(anomaly) AS BIGINT) AS anomalies FROM hr_b WHERE anomaly = 1 GROUP BY ALL) c
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY tenant, metric ORDER BY n DESC, member) AS rn
   FROM (SELECT tenant, metric, member, count(*) AS n FROM cname_b GROUP BY ALL)) n
-ON n.tenant = c.tenant AND n.metric = c.metric AND n.rn = 1""")
+ON n.tenant = c.tenant AND n.metric = c.metric AND n.rn = 1"""
+
+
+@query("metric_summary", METRIC_SUMMARY)
 def metric_summary(spark, sf_dir):
     a = browser(spark, sf_dir)
     return R.metric_summary(a.hours, a.contributors, a.metric_names)
 
 
+@query("second_tracker_metric_summary", on_second(METRIC_SUMMARY))
+def second_tracker_metric_summary(spark, sf_dir):
+    a = second(spark, sf_dir)
+    return R.metric_summary(a.hours, a.contributors, a.metric_names)
+
+
 def _merged(metric: str) -> str:
     here = f"metric = {text(metric)}"
     columns = [f"max(CASE WHEN {here} AND dim = 'total' THEN {c} END) AS {metric}_{o}"
@@ -339,14 +358,25 @@ def second_tracker_groups(spark, sf_dir):
     return _flat_contributors(second(spark, sf_dir).group_report, S_METRICS)
 
 
-@query("group_report_dims", f"""
+GROUP_MEMBERS = f"""
 SELECT g.tenant, g.group_id, r.metric, r.dim, r.member, coalesce({mean("r.percent_diff")}, 0) AS percent_diff
-FROM grouped_b g JOIN mr_b r ON r.tenant = g.tenant AND r.ds = g.ds GROUP BY ALL""")
+FROM grouped_b g JOIN mr_b r ON r.tenant = g.tenant AND r.ds = g.ds GROUP BY ALL"""
+
+
+@query("group_report_dims", GROUP_MEMBERS)
 def group_report_dims(spark, sf_dir):
     a = browser(spark, sf_dir)
     return G.group_members(a.grouped, a.member_report)
 
 
+@query("group_report_wide", f"""
+SELECT r.*, w.* EXCLUDE (tenant, group_id) FROM ({_group_report("b", B_METRICS)}) r
+JOIN (SELECT tenant, group_id, {MEMBER_COLUMNS} FROM ({GROUP_MEMBERS}) GROUP BY ALL) w
+ON w.tenant = r.tenant AND w.group_id = r.group_id""")
+def group_report_wide(spark, sf_dir):
+    return _flat_contributors(browser(spark, sf_dir).wide_group_report, B_METRICS)
+
+
 @query("group_hours", "SELECT * FROM ghour_b")
 def group_hours(spark, sf_dir):
     return browser(spark, sf_dir).group_hours.withColumn("contributors", joined("contributors"))
@@ -440,13 +470,17 @@ def classification(spark, sf_dir):
     return rows.select(*CLASSIFIED.split(", "))
 
 
-@query("classification_reasons", """
-SELECT tenant, group_id, 'Base score (Scenario ' || scenario_type || '): ' || printf('%.2f', base_score) ||
-  CASE WHEN history_share IS NULL THEN '' ELSE '; Historical consistency: ' || printf('%.2f', round(history_share, 2))
-    || ' (contributes ' || printf('%.2f', round(history_part, 2)) || ')' END ||
-  '; Metric count bonus: ' || printf('%.2f', round(metrics_part, 2)) ||
-  '; Duration bonus: ' || printf('%.2f', round(duration_part, 2)) ||
-  '; Total confidence score: ' || printf('%.2f', round(confidence_score, 2)) AS reasoning FROM class_b""")
+def two(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(18,6)), 2) AS VARCHAR)"
+
+
+@query("classification_reasons", f"""
+SELECT tenant, group_id, 'Base score (Scenario ' || scenario_type || '): ' || {two('base_score')} ||
+  CASE WHEN history_share IS NULL THEN '' ELSE '; Historical consistency: ' || {two('history_share')}
+    || ' (contributes ' || {two('history_part')} || ')' END ||
+  '; Metric count bonus: ' || {two('metrics_part')} ||
+  '; Duration bonus: ' || {two('duration_part')} ||
+  '; Total confidence score: ' || {two('confidence_score')} AS reasoning FROM class_b""")
 def classification_reasons(spark, sf_dir):
     return K.reasons(browser(spark, sf_dir).classified).select(
         "tenant", "group_id", joined("reasoning", "; ").alias("reasoning"))
@@ -472,7 +506,7 @@ def scenario_breakdown(spark, sf_dir):
 
 # --- summaries and patterns ------------------------------------------------------------------
 
-@query("summary_lines", """
+SUMMARY_LINES = """
 SELECT s.tenant, s.group_id, s.start_hour, s.end_hour, strftime(s.start_hour, '%b %d %Y %H:%M') || ' - ' ||
   strftime(s.end_hour, '%b %d %Y %H:%M') || ': ' || CASE WHEN s.positive THEN 'Positive ' ELSE 'Negative ' END ||
   p.parts AS line
@@ -484,11 +518,19 @@ FROM sspan_b s JOIN (
   JOIN sspan_b s ON s.tenant = c.tenant AND s.group_id = c.group_id
   JOIN mreg_b m ON m.metric = c.metric
   LEFT JOIN combined_b k ON k.tenant = c.tenant AND k.metric = c.metric AND k.ds = s.start_hour
-  GROUP BY c.tenant, c.group_id) p ON p.tenant = s.tenant AND p.group_id = s.group_id""")
+  GROUP BY c.tenant, c.group_id) p ON p.tenant = s.tenant AND p.group_id = s.group_id"""
+
+
+@query("summary_lines", SUMMARY_LINES)
 def summary_lines(spark, sf_dir):
     return browser(spark, sf_dir).summary_lines
 
 
+@query("second_tracker_summary", on_second(SUMMARY_LINES))
+def second_tracker_summary(spark, sf_dir):
+    return second(spark, sf_dir).summary_lines
+
+
 @query("funnel_pattern", """
 SELECT tenant, group_id, start_hour, end_hour, traffic_change, orders_change,
   CASE WHEN abs(traffic_change) < 0.1 AND abs(orders_change) > 0.1 THEN 'orders changed, traffic stable'
@@ -507,7 +549,7 @@ def funnel_pattern(spark, sf_dir):
     return P.funnel_pattern(a.summary_rows, a.scored)
 
 
-@query("hierarchy_pattern", """
+HIERARCHY = """
 SELECT w.tenant, w.group_id, w.metric, w.start_hour, t.percent_diff AS top_change, c.moved_dims,
   CASE WHEN abs(t.percent_diff) > 0.1 AND c.any_moved THEN 'top level and members'
     WHEN abs(t.percent_diff) > 0.1 AND NOT c.any_moved THEN 'top level only'
@@ -518,7 +560,18 @@ LEFT JOIN top_b t ON t.tenant = w.tenant AND t.metric = w.metric AND t.ds = w.st
 LEFT JOIN (SELECT tenant, metric, ds, bool_or(abs(v) > 0.1) AS any_moved,
     string_agg(DISTINCT CASE WHEN abs(v) > 0.1 THEN dim END, ',' ORDER BY CASE WHEN abs(v) > 0.1 THEN dim END) AS moved_dims
   FROM name_b GROUP BY tenant, metric, ds) c
-ON c.tenant = w.tenant AND c.metric = w.metric AND c.ds = w.start_hour""")
-def hierarchy_pattern(spark, sf_dir):
-    a = browser(spark, sf_dir)
+ON c.tenant = w.tenant AND c.metric = w.metric AND c.ds = w.start_hour"""
+
+
+def _hierarchy(a: Analysis) -> DataFrame:
     return P.hierarchy_pattern(a.summary_rows, a.scored, a.by_dim).withColumn("moved_dims", joined("moved_dims"))
+
+
+@query("hierarchy_pattern", HIERARCHY)
+def hierarchy_pattern(spark, sf_dir):
+    return _hierarchy(browser(spark, sf_dir))
+
+
+@query("second_tracker_patterns", on_second(HIERARCHY))
+def second_tracker_patterns(spark, sf_dir):
+    return _hierarchy(second(spark, sf_dir))

@@ -16,6 +16,7 @@ from tidemark.operators import cube as Q
 from tidemark.operators import dedup as U
 from tidemark.operators import select as S
 from tidemark.plans import kpi_engine as E
+from tidemark.plans.analysis import Analysis
 from tidemark.plans.default_config import AGENT_RULES, DEVICE_MAPPING, default_config
 from tidemark.plans.profiles import SECOND_REGISTRY, member_table
 from tidemark.sources.config import parse_config
@@ -33,13 +34,20 @@ SESSION_KEEP = ", ".join(SESSION_COLUMNS)
 SESSION_SQL = earliest("ev_b", "session_id", SESSION_KEEP)
 
 
-def browser(spark, sf_dir) -> DataFrame:
+def browser(spark, sf_dir, only: str | None = None) -> DataFrame:
     """Events with tenant, visitor, session, geography and device."""
-    return T.browser_events(spark, sf_dir).withColumns({
+    return T.browser_events(spark, sf_dir, only).withColumns({
         "tenant": F.col(BROWSER.tenant), "visitor": F.col(BROWSER.visitor),
         "session": F.col(BROWSER.session), "geo": BROWSER.geo(), "device": BROWSER.device()})
 
 
+ORDER = "checkout_completed"
+
+
+def orders(spark, sf_dir) -> DataFrame:
+    return S.only_event(browser(spark, sf_dir, ORDER), ORDER)
+
+
 def second(spark, sf_dir) -> DataFrame:
     events = from_second_tracker(T.second_tracker_events(spark, sf_dir))
     return events.withColumns({
@@ -68,7 +76,7 @@ def core_columns_nonnull(spark, sf_dir):
 @query("event_filter", """
 SELECT event_details_id, event_timestamp, price_amount FROM view_b WHERE event_name = 'checkout_completed'""")
 def event_filter(spark, sf_dir):
-    return S.only_event(T.browser_events(spark, sf_dir), "checkout_completed").select(
+    return S.only_event(T.browser_events(spark, sf_dir, ORDER), ORDER).select(
         "event_details_id", "event_timestamp", "price_amount")
 
 
@@ -186,11 +194,12 @@ def utm_grouped(spark, sf_dir):
 SELECT date_trunc('hour', event_timestamp) AS t_1h, CAST(date_trunc('day', event_timestamp) AS TIMESTAMP) AS t_1d,
   CAST(date_trunc('week', event_timestamp) AS TIMESTAMP) AS t_1w,
   CAST(date_trunc('month', event_timestamp) AS TIMESTAMP) AS t_1mo,
+  time_bucket(INTERVAL 15 MINUTE, event_timestamp) AS t_15m, time_bucket(INTERVAL 6 HOUR, event_timestamp) AS t_6h,
   hour(event_timestamp) AS time_hour, count(*) AS n FROM view_b GROUP BY ALL""")
 def time_truncate(spark, sf_dir):
     events = T.browser_events(spark, sf_dir)
     return events.groupBy(
-        *[truncate(F.col("event_timestamp"), u).alias(f"t_{u}") for u in TRUNCATE_UNITS],
+        *[truncate(F.col("event_timestamp"), u).alias(f"t_{u}") for u in (*TRUNCATE_UNITS, "15m", "6h")],
         F.hour("event_timestamp").alias("time_hour")).agg(F.count("*").alias("n"))
 
 
@@ -212,7 +221,7 @@ def visitors_unique(spark, sf_dir):
 @query("buyers_unique", "SELECT tenant, visitor, event_timestamp, geo, device FROM ("
        + earliest("ev_b", "tenant, visitor", "geo, device", "event_name = 'checkout_completed'") + ")")
 def buyers_unique(spark, sf_dir):
-    return U.earliest_per_key(S.only_event(browser(spark, sf_dir), "checkout_completed"),
+    return U.earliest_per_key(orders(spark, sf_dir),
                               ["tenant", "visitor"], "event_timestamp", ["geo", "device"])
 
 
@@ -280,12 +289,12 @@ def _hourly(member: str, source: str = "ev_b", where: str = "event_name = 'check
 
 @query("hourly_by_geo", _hourly("geo"))
 def hourly_by_geo(spark, sf_dir):
-    return Q.hourly_counts(S.only_event(browser(spark, sf_dir), "checkout_completed"), "geo", by=["tenant"])
+    return Q.hourly_counts(orders(spark, sf_dir), "geo", by=["tenant"])
 
 
 @query("hourly_by_device", _hourly("device"))
 def hourly_by_device(spark, sf_dir):
-    return Q.hourly_counts(S.only_event(browser(spark, sf_dir), "checkout_completed"), "device", by=["tenant"])
+    return Q.hourly_counts(orders(spark, sf_dir), "device", by=["tenant"])
 
 
 def _wide(member: str, source: str, members, total=None) -> str:
@@ -327,14 +336,14 @@ SELECT tenant, date_trunc('hour', event_timestamp) AS ds, geo, device, count(*)
 FROM ev_b WHERE event_name = 'checkout_completed'
 GROUP BY GROUPING SETS ((tenant, ds), (tenant, ds, geo), (tenant, ds, device))""")
 def kpi_grouping_sets(spark, sf_dir):
-    return Q.grouping_sets_cube(S.only_event(browser(spark, sf_dir), "checkout_completed"))
+    return Q.grouping_sets_cube(orders(spark, sf_dir))
 
 
 # --- second tracker and members --------------------------------------------------------------
 
 @query("members_present", "SELECT c.* FROM cube_s c SEMI JOIN reg_s r USING (metric, dim, member)")
 def members_present(spark, sf_dir):
-    cube = Q.kpi_cube(Q.activity(second_events(spark, sf_dir), SECOND), SECOND)
+    cube = Q.kpi_cube(Analysis(second_events(spark, sf_dir), SECOND).activity, SECOND)
     return S.registered_members(cube, member_table(spark, SECOND), ("metric", "dim", "member"))
 
 
@@ -344,7 +353,7 @@ def second_events(spark, sf_dir):
 
 @query("kpi_cube", "SELECT * FROM cube_b")
 def kpi_cube(spark, sf_dir):
-    return Q.kpi_cube(Q.activity(T.browser_events(spark, sf_dir), BROWSER), BROWSER)
+    return Q.kpi_cube(Analysis(T.browser_events(spark, sf_dir), BROWSER).activity, BROWSER)
 
 
 @query("member_totals", """

@@ -7,6 +7,7 @@ sessions are a user's calendar day; ``k`` is the integer in ``props``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GLOBAL_SHOP = "global.shop.example"
 
@@ -95,16 +96,20 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
-    keyed = raw(spark, sf_dir).selectExpr(
+def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str], types: list[str] | None = None) -> DataFrame:
+    rows = raw(spark, sf_dir)
+    if types is not None:
+        rows = rows.where(F.col("event_type").isin(types))
+    keyed = rows.selectExpr(
         "*", "CAST(get_json_object(props, '$.k') AS INT) AS k",
         "concat(user_id, '/', CAST(ts AS DATE)) AS visitor")
     return keyed.selectExpr(*[f"{rule} AS {name}" for name, rule in columns.items()])
 
 
-def browser_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """first tracker view."""
-    return _view(spark, sf_dir, BROWSER_VIEW)
+def browser_events(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """First tracker view, of one event name if asked: the raw type is then compared by the scan."""
+    types = None if only is None else [old for old, new in EVENT_NAMES.items() if new == only]
+    return _view(spark, sf_dir, BROWSER_VIEW, types)
 
 
 def second_tracker_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def changed(path, value):
 
 
 @pytest.mark.parametrize("path,value,message", [
-    (("common_configs", "time_truncate_unit"), "5m", "time_truncate_unit"),
+    (("common_configs", "time_truncate_unit"), "7m", "time_truncate_unit"),
     (("kpis", "orders", "calculation", "method"), "median", "median"),
     (("kpis", "orders", "calculation", "filter", "operator"), "~", "operator"),
     (("kpis", "orders", "dimensions", "device", "mapping"), "nope", "mapping"),

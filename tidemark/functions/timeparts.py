@@ -5,17 +5,35 @@ All of them take and return ``timestamp_ntz``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Named units; ``<n>m`` and ``<n>h`` that divide a day are known too.
 TRUNCATE_UNITS = ("1h", "1d", "1w", "1mo")
+DAY_MINUTES = 24 * 60
 
 # Month names of the report labels.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
+def unit_minutes(unit: str) -> int | None:
+    """Minutes of ``<n>m`` or ``<n>h``; None for other units and those that do not divide a day."""
+    found = re.fullmatch(r"([1-9][0-9]*)([mh])", str(unit))
+    minutes = int(found[1]) * (60 if found[2] == "h" else 1) if found else DAY_MINUTES + 1
+    return minutes if DAY_MINUTES % minutes == 0 else None
+
+
+def known_unit(unit: str) -> bool:
+    return unit in TRUNCATE_UNITS or unit_minutes(unit) is not None
+
+
 def truncate(ts: Column, unit: str = "1h") -> Column:
-    """Start of the hour, day, week (Monday) or month that holds ``ts``."""
+    """Start of the hour, day, week (Monday), month, or minutes or hours of the day that holds ``ts``."""
+    if not known_unit(unit):
+        raise ValueError(f"unknown time unit {unit!r}, expected one of {TRUNCATE_UNITS}, or minutes (15m) "
+                         "or hours (6h) that divide a day")
     day = ts.cast("date")
     if unit == "1h":
         return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
@@ -25,7 +43,8 @@ def truncate(ts: Column, unit: str = "1h") -> Column:
         return F.trunc(day, "week").cast("timestamp_ntz")
     if unit == "1mo":
         return F.trunc(day, "month").cast("timestamp_ntz")
-    raise ValueError(f"unknown time unit {unit!r}, expected one of {TRUNCATE_UNITS}")
+    past = F.hour(ts) * 60 + F.minute(ts)
+    return day.cast("timestamp_ntz") + F.make_dt_interval(mins=past - past % unit_minutes(unit))
 
 
 def utc_ntz(ts: Column) -> Column:

@@ -19,7 +19,8 @@ TRUE_POSITIVE_FROM = 0.5
 
 
 def _two(value: Column) -> Column:
-    return F.format_string("%.2f", F.round(value, 2))
+    """Two digits, half away from zero, from the six places of the library."""
+    return F.round(value.cast("decimal(18,6)"), 2).cast("string")
 
 
 def classify(cases: DataFrame, top_history: DataFrame) -> DataFrame:

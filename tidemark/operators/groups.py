@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import as_text, union_of_lists
 from tidemark.functions.numbers import exact_mean, rounded
 from tidemark.functions.timeparts import hours, label, whole_hours
+from tidemark.operators.report import member_columns
 
 # Longest gap inside a group, share of upstream anomalies for a funnel effect.
 GAP_HOURS = 3
@@ -105,6 +106,11 @@ def group_members(grouped: DataFrame, members_long: DataFrame) -> DataFrame:
         F.coalesce(rounded(exact_mean(F.col("percent_diff"))), F.lit(0.0)).alias("percent_diff"))
 
 
+def wide_group_members(per_member: DataFrame, member_rows: list[dict]) -> DataFrame:
+    """One row per group with the mean percent difference of every member."""
+    return per_member.groupBy("tenant", "group_id").agg(*member_columns(member_rows))
+
+
 def root_cause(per_metric: DataFrame, share: float = UPSTREAM_SHARE) -> DataFrame:
     """Where a group comes from.
 

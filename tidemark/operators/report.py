@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import any_contains, as_text
 from tidemark.functions.numbers import percent_text
-from tidemark.functions.timeparts import stamp
+from tidemark.functions.timeparts import stamp, truncate
 from tidemark.operators.baseline import top_level
 from tidemark.plans.profiles import each_of
 
 
-def hour_spine(series: DataFrame) -> DataFrame:
-    """Every hour from the shop's first to its last one."""
+def hour_spine(series: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Every hour from the shop's first to its last one, or from ``start`` to before ``end``."""
     bounds = series.groupBy("tenant").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    return bounds.select("tenant", F.explode(F.sequence(
-        F.col("first"), F.col("last"), F.expr("interval 1 hour"))).alias("ds"))
+    first = F.col("first") if start is None else truncate(start)
+    last = F.col("last") if end is None else truncate(end - F.expr("interval 1 microsecond"))
+    return bounds.select("tenant", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))).alias("ds"))
 
 
-def hour_metrics(scored: DataFrame, metric_rows: list[dict], contributors: DataFrame) -> DataFrame:
+def hour_metrics(scored: DataFrame, metric_rows: list[dict], contributors: DataFrame,
+                 start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Long hour report: flag, percent difference and contributors per spine hour and metric.
 
     An hour without a row in the series gets flag 0 and difference 0.  Contributors only
@@ -28,7 +30,7 @@ def hour_metrics(scored: DataFrame, metric_rows: list[dict], contributors: DataF
     top = top_level(scored).select(
         "tenant", "metric", "ds", "y", F.col("is_anomaly").alias("flag"),
         F.col("percent_diff").alias("change"))
-    grid = hour_spine(scored).select("tenant", "ds", F.inline(each_of(metric_rows)))
+    grid = hour_spine(scored, start, end).select("tenant", "ds", F.inline(each_of(metric_rows)))
     return (
         grid.join(top, ["tenant", "metric", "ds"], "left")
         .join(contributors, ["tenant", "metric", "ds"], "left")
@@ -49,10 +51,11 @@ def hour_events(hour_report: DataFrame) -> DataFrame:
              F.transform("found", lambda m: m["metric"]).alias("event_names"))
 
 
-def member_report(scored: DataFrame, member_rows: list[dict]) -> DataFrame:
+def member_report(scored: DataFrame, member_rows: list[dict],
+                  start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Percent difference of every registered member at every spine hour, missing rows 0."""
     below = [r for r in member_rows if r["dim"] != "total"]
-    grid = hour_spine(scored).select("tenant", "ds", F.inline(each_of(below)))
+    grid = hour_spine(scored, start, end).select("tenant", "ds", F.inline(each_of(below)))
     known = scored.select("tenant", "metric", "dim", "member", "ds", "percent_diff", F.lit(1).alias("known"))
     return grid.join(known, ["tenant", "metric", "dim", "member", "ds"], "left").select(
         "tenant", "ds", "metric", "dim", "member", "ord",
@@ -77,15 +80,19 @@ def wide_report(hour_report: DataFrame, metrics) -> DataFrame:
     return wide.withColumn("has_anomaly", F.greatest(*flags) if len(flags) > 1 else flags[0])
 
 
-def wide_member_report(members_long: DataFrame, member_rows: list[dict]) -> DataFrame:
-    """One row per hour with a ``<metric>_<dim>_<member>_percent_diff`` column per member."""
-    columns = [
+def member_columns(member_rows: list[dict]) -> list[Column]:
+    """A ``<metric>_<dim>_<member>_percent_diff`` aggregate per member."""
+    return [
         F.max(F.when(
             (F.col("metric") == r["metric"]) & (F.col("dim") == r["dim"]) & (F.col("member") == r["member"]),
             F.col("percent_diff"))).alias(f"{r['metric']}_{r['dim']}_{r['member']}_percent_diff")
         for r in member_rows if r["dim"] != "total"
     ]
-    return members_long.groupBy("tenant", F.col("ds").alias("hour")).agg(*columns)
+
+
+def wide_member_report(members_long: DataFrame, member_rows: list[dict]) -> DataFrame:
+    """One row per hour with the percent difference of every member."""
+    return members_long.groupBy("tenant", F.col("ds").alias("hour")).agg(*member_columns(member_rows))
 
 
 def hour_sign(scored: DataFrame, hour_report: DataFrame, members: DataFrame,

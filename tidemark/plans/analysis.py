@@ -26,18 +26,34 @@ from tidemark.sources.work import WorkTables
 
 
 class Analysis:
-    """Stages of one run; each is built when first asked for."""
+    """Stages of one run; each is built when first asked for.
+
+    ``start`` and ``end`` bound the analysis: events outside ``start <= time < end`` are left out by
+    the scan, and the hour spine covers that window; without them it covers the data.
+    A ``with`` block removes the work tables at its end.
+    """
 
     def __init__(self, events: DataFrame, profile: Profile, work: WorkTables | None = None,
                  forecaster=B.seasonal_baseline, gap: int = G.GAP_HOURS,
-                 sign_rule: str = "first_nonzero", min_hours: int = 1):
+                 sign_rule: str = "first_nonzero", min_hours: int = 1, start=None, end=None):
         self.spark: SparkSession = events.sparkSession
+        self.start, self.end = (None if t is None else F.lit(str(t)).cast("timestamp_ntz") for t in (start, end))
+        if self.start is not None:
+            events = events.where(F.col("event_timestamp") >= self.start)
+        if self.end is not None:
+            events = events.where(F.col("event_timestamp") < self.end)
         self.events, self.profile = events, profile
         self.work = work or WorkTables(self.spark)
         self.forecaster, self.gap, self.sign_rule, self.min_hours = forecaster, gap, sign_rule, min_hours
         self.metric_names = [m.name for m in profile.modelled]
         self.member_rows = profile.member_rows()
 
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.work.close()
+
     @cached_property
     def members(self) -> DataFrame:
         return member_table(self.spark, self.profile)
@@ -84,12 +100,18 @@ class Analysis:
 
     @cached_property
     def hour_report(self) -> DataFrame:
-        report = R.hour_metrics(self.scored, self.profile.metric_rows(), self.contributors)
+        report = R.hour_metrics(self.scored, self.profile.metric_rows(), self.contributors, self.start, self.end)
         return self.work.keep(report, "hour_report")
 
     @cached_property
     def member_report(self) -> DataFrame:
-        return R.member_report(self.scored, self.member_rows)
+        return R.member_report(self.scored, self.member_rows, self.start, self.end)
+
+    @cached_property
+    def wide_report(self) -> DataFrame:
+        """Hour report with the columns of every metric and member."""
+        members = R.wide_member_report(self.member_report, self.member_rows)
+        return R.wide_report(self.hour_report, self.metric_names).join(members, ["tenant", "hour"], "left")
 
     @cached_property
     def hours(self) -> DataFrame:
@@ -119,6 +141,12 @@ class Analysis:
     def group_report(self) -> DataFrame:
         return G.group_report(self.grouped, self.group_metrics, self.metric_names, self.min_hours)
 
+    @cached_property
+    def wide_group_report(self) -> DataFrame:
+        """Group report with the means of every member."""
+        members = G.wide_group_members(G.group_members(self.grouped, self.member_report), self.member_rows)
+        return self.group_report.join(members, ["tenant", "group_id"], "left")
+
     @cached_property
     def group_hours(self) -> DataFrame:
         return S.group_hours(self.spans, self.top)
@@ -149,9 +177,8 @@ class Analysis:
         """Cube as Parquet, reports as CSV, scenarios and classes as JSON."""
         folder = folder.rstrip("/")
         sinks.write_cube(self.cube, f"{folder}/kpi_cube")
-        sinks.write_report_csv(
-            R.wide_report(self.hour_report, self.metric_names), f"{folder}/anomaly_report")
-        sinks.write_report_csv(self.group_report, f"{folder}/anomaly_group_report")
+        sinks.write_report_csv(self.wide_report, f"{folder}/anomaly_report")
+        sinks.write_report_csv(self.wide_group_report, f"{folder}/anomaly_group_report")
         sinks.write_report_csv(H.nested_history(self.history()), f"{folder}/historical_analysis_report")
         sinks.write_report_csv(self.summary_lines, f"{folder}/summary")
         sinks.write_json(self.scenarios, f"{folder}/anomaly_scenarios")

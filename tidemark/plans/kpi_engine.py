@@ -236,9 +236,16 @@ def final_order(df: DataFrame, order: list[str] | None, members: list[str], by=(
     return df.select(*by, *[F.col(f"`{c}`") for c in listed + [m for m in members if m not in listed]])
 
 
-def kpi_tables(events: DataFrame, config: dict, by=(), fill: int | None = 0) -> dict[tuple[str, str], DataFrame]:
-    """Every configured table by ``(kpi, dimension)``."""
+def kpi_tables(events: DataFrame, config: dict, by=(), fill: int | None = 0,
+               work: WorkTables | None = None) -> dict[tuple[str, str], DataFrame]:
+    """Every configured table by ``(kpi, dimension)``.
+
+    With ``work`` the long form is written there first, so that the tables do not each start from
+    the raw events.
+    """
     long = kpi_long(events, config, by)
+    if work is not None:
+        long = work.keep(long, "kpis")
     return {
         (name, dim): kpi_wide(long, name, dim, config, by, fill)
         for name, kpi in config["kpis"].items() for dim in _used_dimensions(kpi, config)
@@ -249,9 +256,5 @@ def run(spark: SparkSession, path: str, by=()) -> dict[tuple[str, str], str]:
     """Read a configuration, its events, and write one CSV folder per configured table."""
     config = load_config(path)
     events = without_zone(spark.read.parquet(config["data"]["input_file"]))
-    long = WorkTables(spark).keep(kpi_long(events, config, by), "kpis")
-    tables = {
-        (name, dim): kpi_wide(long, name, dim, config, by)
-        for name, kpi in config["kpis"].items() for dim in _used_dimensions(kpi, config)
-    }
-    return write_kpi_tables(tables, config["data"]["output_directory"])
+    with WorkTables(spark) as work:
+        return write_kpi_tables(kpi_tables(events, config, by, work=work), config["data"]["output_directory"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from tidemark.functions.timeparts import TRUNCATE_UNITS
+from tidemark.functions.timeparts import known_unit
 from tidemark.operators.select import COMPARISONS
 
 # The sections that a configuration must have.
@@ -36,8 +36,8 @@ def validate(config: dict) -> dict:
         if key not in config:
             raise ValueError(f"missing key in config: {key}")
     unit = config["common_configs"].get("time_truncate_unit")
-    if unit not in TRUNCATE_UNITS:
-        raise ValueError(f"unknown time_truncate_unit {unit!r}, expected one of {TRUNCATE_UNITS}")
+    if not known_unit(unit):
+        raise ValueError(f"unknown time_truncate_unit {unit!r}")
     for name, kpi in config["kpis"].items():
         _check_kpi(name, kpi, config)
     for dim, pivot in config["pivot_configs"].items():
@@ -63,9 +63,13 @@ def _check_kpi(name: str, kpi: dict, config: dict) -> None:
         if "min" not in kinds:
             raise ValueError(f"{name}: first_occurrence needs a min aggregation for its time")
     for dim, spec in kpi.get("dimensions", {}).items():
+        if "source_column" not in spec:
+            raise ValueError(f"{name}.{dim}: missing source_column")
         for step in spec.get("transformations", []):
             if step.get("type") != "when_then":
                 raise ValueError(f"{name}.{dim}: unknown transformation {step.get('type')!r}")
+            if "conditions" not in step:
+                raise ValueError(f"{name}.{dim}: when_then without conditions")
         mapping = spec.get("mapping")
         if mapping and mapping not in config["mappings"]:
             raise ValueError(f"{name}.{dim}: unknown mapping {mapping!r}")

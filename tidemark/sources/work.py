@@ -7,6 +7,7 @@ again, and the next stage plans with real file sizes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
 class WorkTables:
-    """Writes stage results below one fresh folder and reads them back."""
+    """Writes stage results below one fresh folder and reads them back.
+
+    ``close``, or the end of a ``with`` block, removes the folder; DataFrames read from it end there.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
@@ -38,3 +42,14 @@ class WorkTables:
         """Write ``df`` once and return the written table."""
         df.write.mode("errorifexists").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def close(self) -> None:
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> WorkTables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
