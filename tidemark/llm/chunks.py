@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
@@ -94,14 +94,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     stays = again.filter("doc_id = first").groupBy("d1", "d2").agg(F.min("key").alias("key")).join(
         again.filter("doc_id = first"), ["d1", "d2", "key"]).groupBy("d1", "d2", "key").agg(F.min("low").alias("low"))
     gone = again.select("d1", "d2", "key", "low", "high").distinct().join(stays, ["d1", "d2", "key", "low"], "left_anti")
-    runs = gone.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("gone"))
-    # Chunks that touch are one run.
-    joined = F.aggregate("gone", F.array().cast("array<struct<low:int,high:int>>"), lambda done, c: F.when(
-        (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["high"] == c["low"]),
-        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                 F.array(F.struct(F.try_element_at(done, F.lit(-1))["low"].alias("low"), c["high"].alias("high")))))
-        .otherwise(F.concat(done, F.array(F.struct(c["low"].alias("low"), c["high"].alias("high"))))))
-    runs = runs.select("key", F.filter(joined, lambda r: r["high"] - r["low"] >= RUN).alias("runs"))
+    # Chunks that touch are one run, which begins where no removed chunk ends; linear in the chunks of a text.
+    in_text = Window.partitionBy("key").orderBy("low")
+    begins = F.coalesce(F.lag("high").over(in_text) != F.col("low"), F.lit(True)).cast("int")
+    run = F.sum("begins").over(in_text.rowsBetween(Window.unboundedPreceding, 0))
+    runs = (gone.withColumn("begins", begins).withColumn("run", run)
+            .groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("high") - F.col("low") >= RUN)
+            .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs")))
     row_text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     whole = packed(docs).withColumn("key", F.xxhash64(F.coalesce(F.col("row.doc_id").cast("long"), last), row_text))
     return whole.join(runs, "key", "left").select("row", F.coalesce(
