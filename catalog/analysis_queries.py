@@ -30,11 +30,11 @@ S_METRICS = [m.name for m in SECOND.modelled]
 
 
 def browser(spark, sf_dir) -> Analysis:
-    return Analysis(T.browser_events(spark, sf_dir), BROWSER)
+    return Analysis(T.browser_events(spark, sf_dir), BROWSER, T.work(spark))
 
 
 def second(spark, sf_dir) -> Analysis:
-    return Analysis(second_events(spark, sf_dir), SECOND)
+    return Analysis(second_events(spark, sf_dir), SECOND, T.work(spark))
 
 
 def on_second(counterpart: str) -> str:

@@ -22,7 +22,6 @@ from tidemark.plans.profiles import SECOND_REGISTRY, member_table
 from tidemark.sources.config import parse_config
 from tidemark.sources.events import CORE_COLUMNS, EVENT_SCHEMA, check_columns, from_second_tracker
 from tidemark.sources.sinks import read_kpi_csv, write_report_csv
-from tidemark.sources.work import WorkTables
 
 SESSION_COLUMNS = {
     "event_type": "first_event_type", "event_name": "first_event_name", "shop": "shop",
@@ -343,7 +342,7 @@ def kpi_grouping_sets(spark, sf_dir):
 
 @query("members_present", "SELECT c.* FROM cube_s c SEMI JOIN reg_s r USING (metric, dim, member)")
 def members_present(spark, sf_dir):
-    cube = Q.kpi_cube(Analysis(second_events(spark, sf_dir), SECOND).activity, SECOND)
+    cube = Q.kpi_cube(Analysis(second_events(spark, sf_dir), SECOND, T.work(spark)).activity, SECOND)
     return S.registered_members(cube, member_table(spark, SECOND), ("metric", "dim", "member"))
 
 
@@ -353,7 +352,7 @@ def second_events(spark, sf_dir):
 
 @query("kpi_cube", "SELECT * FROM cube_b")
 def kpi_cube(spark, sf_dir):
-    return Q.kpi_cube(Analysis(T.browser_events(spark, sf_dir), BROWSER).activity, BROWSER)
+    return Q.kpi_cube(Analysis(T.browser_events(spark, sf_dir), BROWSER, T.work(spark)).activity, BROWSER)
 
 
 @query("member_totals", """
@@ -421,6 +420,6 @@ def kpi_config(spark, sf_dir):
                               BROWSER.members["geo"], BROWSER.members["geo"]))
 def csv_roundtrip(spark, sf_dir):
     wide = pivot_geo(spark, sf_dir)
-    path = WorkTables(spark).path("orders_geo")
+    path = T.work(spark).path("orders_geo")
     write_report_csv(wide, path)
     return read_kpi_csv(spark, path, wide.schema)

@@ -157,16 +157,13 @@ JOIN reg_{t} r USING (metric, dim)
 LEFT JOIN cube_{t} c ON c.tenant = p.tenant AND c.metric = p.metric AND c.dim = p.dim
   AND c.member = r.member AND c.ds = p.ds""",
         f"span_{t}": f"""
-SELECT *, date_diff('hour', min(ds) OVER s, ds) AS x,
-  date_diff('hour', min(ds) OVER s, max(ds) OVER s) >= 14 * 24 AS long_enough
-FROM series_{t} WINDOW s AS ({s})""",
+SELECT *, date_diff('hour', min(ds) OVER s, ds) AS x FROM series_{t} WINDOW s AS ({s})""",
         f"trend_{t}": f"""
 SELECT *, coalesce(regr_slope(y, x) OVER s * x + regr_intercept(y, x) OVER s, avg(y) OVER s) AS trend
 FROM span_{t} WINDOW s AS ({s})""",
         f"hod_{t}": f"SELECT *, avg(y - trend) OVER ({s}, hour(ds)) AS by_hour FROM trend_{t}",
         f"dow_{t}": f"""
-SELECT *, trend + by_hour + CASE WHEN long_enough
-  THEN avg(y - trend - by_hour) OVER ({s}, dayofweek(ds)) ELSE 0 END AS expected FROM hod_{t}""",
+SELECT *, trend + by_hour + avg(y - trend - by_hour) OVER ({s}, dayofweek(ds)) AS expected FROM hod_{t}""",
         f"spread_{t}": f"""
 SELECT *, 1.28155 * coalesce(stddev_samp(y - expected) OVER ({s}), 0) AS spread FROM dow_{t}""",
         f"forecast_{t}": f"""

@@ -6,9 +6,13 @@ sessions are a user's calendar day; ``k`` is the integer in ``props``.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.work import WorkTables, shared_folder
+
 GLOBAL_SHOP = "global.shop.example"
 
 EVENT_NAMES = {
@@ -92,6 +96,17 @@ SECOND_VIEW = {
 }
 
 
+def work(spark: SparkSession) -> WorkTables:
+    """Work tables of a registered query, below ``spark.checkpoint.dir``; a local master without that
+    setting, as in tests, gets a folder of its own."""
+    try:
+        return WorkTables(spark, shared_folder(spark))
+    except ValueError:
+        if not spark.sparkContext.master.startswith("local["):
+            raise
+        return WorkTables(spark, tempfile.mkdtemp(prefix="tidemark-"))
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

@@ -203,7 +203,7 @@ def test_copied_dimension_takes_members_from_the_data(spark):
 # --- whole runs ------------------------------------------------------------------------------
 
 def test_reports_are_written(spark, tmp_path):
-    Analysis(V.from_second_tracker(T.second_tracker_events(spark, SF_DIR)), SECOND).write(str(tmp_path))
+    Analysis(V.from_second_tracker(T.second_tracker_events(spark, SF_DIR)), SECOND, T.work(spark)).write(str(tmp_path))
     groups = spark.read.csv(str(tmp_path / "anomaly_group_report"), header=True)
     assert groups.count() > 0 and "login_contributors" in groups.columns
     assert spark.read.json(str(tmp_path / "anomaly_classifications")).where("size(reasoning) >= 4").count() > 0
@@ -212,14 +212,14 @@ def test_reports_are_written(spark, tmp_path):
 
 
 def test_report_has_every_hour_of_every_shop(spark):
-    a = Analysis(T.browser_events(spark, SF_DIR), BROWSER)
+    a = Analysis(T.browser_events(spark, SF_DIR), BROWSER, T.work(spark))
     bounds = a.scored.groupBy("tenant").agg(F.min("ds").alias("a"), F.max("ds").alias("b")).collect()
     hours = sum(int((r.b - r.a) / HOUR) + 1 for r in bounds)
     assert a.hour_report.count() == hours * len(a.metric_names)
 
 
 def test_no_pairwise_joins(spark):
-    a = Analysis(T.browser_events(spark, SF_DIR), BROWSER)
+    a = Analysis(T.browser_events(spark, SF_DIR), BROWSER, T.work(spark))
     for df in (a.classified, a.group_report, a.history(), a.summary_lines, a.member_report):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -240,6 +240,9 @@ def test_work_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert shared_folder(spark) == named.rstrip("/")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            WorkTables(spark)
     assert WorkTables(spark, "/x/").folder.startswith("/x/tidemark-")
 
 

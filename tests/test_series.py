@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import baseline as B
+from tidemark.plans.profiles import second_tracker_profile
 from tidemark.operators import contributors as C
 from tidemark.operators.forecast import per_series
 
@@ -74,6 +75,26 @@ def test_baseline_matches_numpy(spark):
     assert np.allclose([r.yhat_upper for r in got], expected + spread, atol=1e-5)
 
 
+def test_weekday_term_is_a_setting(spark):
+    """It does not depend on the length of the series."""
+    ys = [1, 5, 2, 8, 3, 9, 4, 7, 6, 2] * 6
+    rows = [("t", "m", "total", "Total", START + i * HOUR, y) for i, y in enumerate(ys)]
+    frame = spark.createDataFrame(rows, SERIES)
+    with_term, without = ([r.yhat for r in B.seasonal_baseline(frame, weekday=w).orderBy("ds").collect()] for w in (True, False))
+    y, x = np.array(ys, float), np.arange(len(ys))
+    trend = np.polyval(np.polyfit(x, y, 1), x)
+    plain = trend + np.array([(y - trend)[x % 24 == h].mean() for h in range(24)])[x % 24]
+    day = np.array([(START + int(i) * HOUR).weekday() for i in x])
+    term = np.array([(y - plain)[day == d].mean() if (day == d).any() else 0 for d in range(7)])[day]
+    assert np.allclose(without, plain, atol=1e-5) and np.allclose(with_term, plain + term, atol=1e-5)
+
+
+def test_orders_of_the_second_tracker_have_their_own_devices():
+    rows = second_tracker_profile().member_rows()
+    devices = {m: [r["member"] for r in rows if r["metric"] == m and r["dim"] == "device"] for m in ("orders", "buyers")}
+    assert len(devices["orders"]) == 7 and set(devices["buyers"]) - set(devices["orders"]) == {"Chromecast", "Ubuntu"}
+
+
 def test_shares_add_up(spark):
     rows = [("t", "m", "device", d, START, y, yhat, 0.0, 9.0) for d, y, yhat in (("a", 5, 3.0), ("b", 1, 2.0))]
     rows.append(("t", "m", "total", "Total", START, 6, 5.0, 0.0, 9.0))

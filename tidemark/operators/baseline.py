@@ -10,20 +10,18 @@ from tidemark.functions.timeparts import whole_hours
 
 SERIES = ("tenant", "metric", "dim", "member")
 
-# Half width of an 80 % normal band, days needed for a weekday pattern,
-# hours on either side that the anomaly weight looks at.
+# Half width of an 80 % normal band, hours on either side that the anomaly weight looks at.
 BAND_WIDTH = 1.28155
-WEEKDAY_DAYS = 14
 WEIGHT_HOURS = 8
 
 
 def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_WIDTH,
-                      weekday_days: int = WEEKDAY_DAYS) -> DataFrame:
+                      weekday: bool = True) -> DataFrame:
     """Adds ``yhat, yhat_lower, yhat_upper`` to ``keys + ds + y``.
 
-    Linear trend, plus the mean remainder per hour of day, plus (for series of at least
-    ``weekday_days`` days) the mean remainder per weekday; the band is a multiple of the
-    standard deviation of what is left.  A series of one point expects itself.
+    Linear trend, plus the mean remainder per hour of day, plus (with ``weekday``) the mean
+    remainder per weekday, however long the series; the band is a multiple of the standard
+    deviation of what is left.  A series of one point expects itself.
 
     All windows partition by the series or by more than it, so one shuffle serves them all,
     and two sorts: by series, hour of day and hour (so sums are taken in one order), then by weekday.  A series has one
@@ -39,15 +37,13 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
     return (
         timed.repartition(partitions, *keys).sortWithinPartitions(*keys, "hour_of_day", "ds")
         .withColumn("start", F.min("ds").over(whole))
-        .withColumn("long_enough",
-                    whole_hours(F.col("start"), F.max("ds").over(whole)) >= weekday_days * 24)
         .withColumn("x", whole_hours(F.col("start"), F.col("ds")))
         .withColumn("trend", F.coalesce(
             F.regr_slope("y", "x").over(whole) * F.col("x") + F.regr_intercept("y", "x").over(whole),
             F.avg("y").over(whole)))
         .withColumn("by_hour", F.avg(F.col("y") - F.col("trend")).over(by_hour))
-        .withColumn("by_weekday", F.when(F.col("long_enough"), F.avg(
-            F.col("y") - F.col("trend") - F.col("by_hour")).over(by_weekday)).otherwise(0.0))
+        .withColumn("by_weekday", F.avg(
+            F.col("y") - F.col("trend") - F.col("by_hour")).over(by_weekday) if weekday else F.lit(0.0))
         .withColumn("expected", F.col("trend") + F.col("by_hour") + F.col("by_weekday"))
         .withColumn("spread", band_width * F.coalesce(
             F.stddev_samp(F.col("y") - F.col("expected")).over(whole), F.lit(0.0)))

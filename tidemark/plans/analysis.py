@@ -34,7 +34,7 @@ class Analysis:
     """
 
     def __init__(self, events: DataFrame, profile: Profile, work: WorkTables | None = None,
-                 forecaster=B.seasonal_baseline, gap: int = G.GAP_HOURS,
+                 forecaster=None, gap: int = G.GAP_HOURS,
                  sign_rule: str = "first_nonzero", min_hours: int = 1, start=None, end=None):
         self.spark: SparkSession = events.sparkSession
         self.start, self.end = (None if t is None else F.lit(str(t)).cast("timestamp_ntz") for t in (start, end))
@@ -74,9 +74,15 @@ class Analysis:
     def series(self) -> DataFrame:
         return Q.dense_series(self.cube, self.profile)
 
+    @cached_property
+    def forecast(self) -> DataFrame:
+        if self.forecaster is None:
+            return B.seasonal_baseline(self.series, weekday=self.profile.weekday)
+        return self.forecaster(self.series)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return self.work.keep(B.score(self.forecaster(self.series)), "scored")
+        return self.work.keep(B.score(self.forecast), "scored")
 
     @cached_property
     def vectors(self) -> DataFrame:

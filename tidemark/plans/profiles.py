@@ -24,7 +24,8 @@ class Metric:
     ``event`` is the event name that counts (None: every event).  ``unique_by`` names the
     key counted once, in the hour of its earliest event; None counts every event.
     ``session_dims`` are dimensions counted over the first value of each session instead.
-    ``top_level_from`` is the dimension whose members add up to the top level.
+    ``top_level_from`` is the dimension whose members add up to the top level.  ``own_members``
+    lists ``(dim, members)`` where the metric has other members than the profile.
     """
 
     name: str
@@ -36,6 +37,7 @@ class Metric:
     priority: int = LAST_PRIORITY
     funnel_rank: int | None = None
     modelled: bool = True
+    own_members: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def analysed_dims(self) -> tuple[str, ...]:
@@ -44,7 +46,8 @@ class Metric:
 
 @dataclass(frozen=True)
 class Profile:
-    """Metrics in report order, members per dimension, and how members are derived."""
+    """Metrics in report order, members per dimension, how members are derived, and whether the
+    baseline has a weekday term."""
 
     metrics: tuple[Metric, ...]
     members: dict[str, tuple[str, ...]]
@@ -54,6 +57,7 @@ class Profile:
     visitor: str = "event_details_clientid"
     session: str = "session_id"
     time: str = "event_timestamp"
+    weekday: bool = True
 
     @property
     def modelled(self) -> tuple[Metric, ...]:
@@ -72,7 +76,8 @@ class Profile:
             if totals:
                 rows.append((m.name, TOTAL, TOTAL_MEMBER))
             for dim in m.analysed_dims:
-                rows += [(m.name, dim, member) for member in self.members[dim]]
+                members = dict(m.own_members).get(dim, self.members[dim])
+                rows += [(m.name, dim, member) for member in members]
         return [{"metric": a, "dim": b, "member": c, "ord": i} for i, (a, b, c) in enumerate(rows)]
 
     def members_of(self, metric: Column, dim: Column) -> Column:
@@ -140,7 +145,8 @@ BROWSER_MEMBERS = {
     "medium": ("cpc", "paid_social", "email", "affiliates"),
 }
 
-# The same for the second tracker.
+# The same for the second tracker, whose orders have a device list of their own.
+SECOND_ORDER_DEVICES = ("Android", "iOS", "Windows", "Mac OS", "Chromium OS", "Linux", "undefined")
 SECOND_METRICS = (
     Metric("landing_page_viewers", "PageView", "session", session_dims=("source", "medium"),
            top_level_from="source", priority=1, funnel_rank=1),
@@ -148,7 +154,7 @@ SECOND_METRICS = (
     Metric("product_viewers", "ViewContent"),
     Metric("added_to_cart", "AddToCart", priority=5, funnel_rank=2),
     Metric("checkout_started", "InitiateCheckout", priority=6, funnel_rank=3),
-    Metric("orders", "Purchase", priority=7, funnel_rank=4),
+    Metric("orders", "Purchase", priority=7, funnel_rank=4, own_members=(("device", SECOND_ORDER_DEVICES),)),
     Metric("buyers", "Purchase", "session", priority=8, funnel_rank=5),
     Metric("login", "Login", priority=4),
     Metric("search", "Search", priority=3),

@@ -7,22 +7,18 @@ again, and the next stage plans with real file sizes.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only for a local master."""
+    """Folder named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    if not folder:
+        raise ValueError("name a work folder, or set spark.checkpoint.dir, to one that all executors share")
+    return folder.rstrip("/")
 
 
 class WorkTables:
