@@ -101,19 +101,30 @@ def percent_diff_at(spark, sf_dir):
     return R.percent_diff_at(points, a.scored)
 
 
-@query("date_range_view", """
+RANGE_VIEW = """
 SELECT t.tenant, t.ds, t.y, h.event_names FROM top_b t JOIN (
   SELECT tenant, ds, string_agg(CASE WHEN anomaly = 1 THEN metric END, ',' ORDER BY metric_ord) AS event_names
   FROM hr_b GROUP BY ALL) h ON h.tenant = t.tenant AND h.ds = t.ds
-WHERE t.metric = 'visitors' AND t.ds >= TIMESTAMP '2024-01-05' AND t.ds < TIMESTAMP '2024-01-09'""")
-def date_range_view(spark, sf_dir):
-    a = browser(spark, sf_dir)
+WHERE t.metric = 'visitors' AND t.ds >= TIMESTAMP '2024-01-05' AND t.ds < TIMESTAMP '2024-01-09'"""
+
+
+def _range_view(a: Analysis) -> DataFrame:
     visitors = B.top_level(a.scored).where(F.col("metric") == "visitors").select("tenant", "ds", "y")
     hours = a.hours.withColumnRenamed("hour", "ds").withColumn("event_names", joined("event_names"))
     rows = between_days(visitors, "ds", "2024-01-05", "2024-01-08")
     return rows.join(hours, ["tenant", "ds"])
 
 
+@query("date_range_view", RANGE_VIEW)
+def date_range_view(spark, sf_dir):
+    return _range_view(browser(spark, sf_dir))
+
+
+@query("second_tracker_range_view", on_second(RANGE_VIEW))
+def second_tracker_range_view(spark, sf_dir):
+    return _range_view(second(spark, sf_dir))
+
+
 # --- contributors ----------------------------------------------------------------------------
 
 @query("nn_distance", "SELECT tenant, metric, dim, ds, distance FROM nn_b")
