@@ -172,6 +172,25 @@ def test_chunks(spark, none):
     assert chunks.describe_chunks(none).count() == 0
 
 
+def test_chunks_find_short_passages_and_short_copies(spark):
+    """Passages of 51 words in other surroundings, and whole copies of texts under a run."""
+    found = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        word = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 10))) for _ in range(n))
+        passages = [word(51) for _ in range(25)]
+        texts = [t for p in passages for t in (f"{word(40)} {p} {word(40)}", f"{word(40)} {p} {word(40)}")]
+        texts += ["A copy of 30 bytes, or so few.", "A copy of 30 bytes, or so few.", "One of 30 bytes, or so few."]
+        docs = rows(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+        got = {r.doc_id: r for r in chunks.describe_chunks(docs).collect()}
+        gone = [got[2 * i + 1].n_removed / len(p) for i, p in enumerate(passages)]
+        assert all(got[2 * i].n_removed == 0 for i in range(25)) and max(gone) < 1.02
+        assert [got[i].n_removed for i in (50, 51, 52)] == [0, 30, 0]
+        assert sum(g == 0 for g in gone) <= 1
+        found += sum(gone) / 100
+    assert found > 0.75
+
+
 def test_chunk_ends_cover_the_text():
     data = np.random.default_rng(5).integers(0, 256, 5000).astype(np.uint8)
     ends = chunks.chunk_ends(data, np.array([0, 5000]))[0]

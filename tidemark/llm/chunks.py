@@ -1,10 +1,11 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes: it doubles and adds a random number for the byte, so it depends on
-the last 64 bytes only.  A chunk ends where its high bits are 0, not before ``LEAST`` bytes and at
-``MOST`` bytes, so an insertion shifts the chunks near it alone.  Chunks are compared by 128-bit
+A gear hash of 16 bits rolls over the bytes: it doubles and adds a random number for the byte, so it
+depends on the last 16 bytes only.  A chunk ends where its high bits are 0, not before ``LEAST`` bytes
+and at ``MOST`` bytes, so an insertion shifts the chunks near it alone.  Chunks are compared by 128-bit
 digests; of equal chunks the first (least id, then place) stays.  Equal chunks that follow each other
-are removed where they make a run of ``RUN`` bytes or more, so chance phrases stay.
+are removed where they make a run of ``RUN`` bytes or more, so chance phrases stay, or a whole text.
+Of a copied passage the bytes before its first own cut and after its last one stay.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ from tidemark.llm import text as T
 from tidemark.llm.shared import Work, packed
 
 #: Bytes of a chunk at least and at most, bits that end one (2**-BITS of the places), bytes of a removed run.
-LEAST, MOST, BITS, RUN = 32, 256, 5, 128
+LEAST, MOST, BITS, RUN = 16, 128, 4, 48
 
-GEAR = T.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(T.BASE))
+GEAR = T.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(T.BASE)).astype(np.uint16)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The rolling hash at every byte: the sum of the last 64 bytes' numbers, each doubled once a byte."""
+    """The rolling hash at every byte: the sum of the last 16 bytes' numbers, each doubled once a byte."""
     out = GEAR[data]
-    for shift in (1, 2, 4, 8, 16, 32):
-        out[shift:] += out[:-shift] << np.uint64(shift)
+    for shift in (1, 2, 4, 8):
+        out[shift:] += out[:-shift] << np.uint16(shift)
     return out
 
 
@@ -39,7 +40,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         # Each text by itself, so that a chunk depends on its own text alone.
-        cuts = (np.flatnonzero(gear_hashes(data[a:b]) >> np.uint64(64 - BITS) == 0) + 1).tolist()
+        cuts = (np.flatnonzero(gear_hashes(data[a:b]) >> np.uint16(16 - BITS) == 0) + 1).tolist()
         ends, start, i, n = [], 0, 0, b - a
         while start < n:
             while i < len(cuts) and cuts[i] < start + LEAST:
@@ -99,12 +100,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     begins = F.coalesce(F.lag("high").over(in_text) != F.col("low"), F.lit(True)).cast("int")
     run = F.sum("begins").over(in_text.rowsBetween(Window.unboundedPreceding, 0))
     runs = (gone.withColumn("begins", begins).withColumn("run", run)
-            .groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("high") - F.col("low") >= RUN)
+            .groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            .filter((F.col("low") == 0) | (F.col("high") - F.col("low") >= RUN))
             .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs")))
     row_text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     whole = packed(docs).withColumn("key", F.xxhash64(F.coalesce(F.col("row.doc_id").cast("long"), last), row_text))
+    # A shorter run that begins a text is removed where it ends it too.
+    long_or_whole = F.filter("runs", lambda r: (r["high"] - r["low"] >= RUN) | (r["high"] == F.octet_length(row_text)))
     return whole.join(runs, "key", "left").select("row", F.coalesce(
-        "runs", F.array().cast("array<struct<low:int,high:int>>")).alias("runs"))
+        long_or_whole, F.array().cast("array<struct<low:int,high:int>>")).alias("runs"))
 
 
 def describe_chunks(docs: DataFrame) -> DataFrame:
