@@ -359,3 +359,25 @@ def test_licences(spark, none):
     assert got == {(1, 3, ((1, "apache-2.0"),)), (2, 1, ((0, "mit"),)), (3, 1, ()), (4, 0, ()), (5, 1, ()),
                    (6, 2, ((0, "gpl-3.0"), (1, "proprietary")))}
     assert licenses.scan(none).count() == 0
+
+
+def test_licences_over_lines_and_side_by_side(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following "
+           "conditions\nare met:")
+    gpl = ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as "
+           "published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.")
+    apache = (' * you may not use this file except in compliance\n * with the License. You may obtain a copy of the License\n * at\n'
+              ' * http://www.apache.org/licenses/LICENSE-2.0')
+    by_sa = "This work is licensed under a Creative Commons\r\nAttribution-ShareAlike 4.0\r\nInternational License."
+    texts = [(bsd, {"bsd"}), (gpl, {"gpl-2.0"}), (apache, {"apache-2.0"}), (by_sa, {"cc-by-sa"}),
+             (gpl.replace("; either version 2", ", either version 3"), {"gpl-3.0"}),
+             ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"apache-2.0", "mit"}),
+             (f"Some prose.\n\n{gpl}\n\n{bsd}\nReleased under the MIT License.", {"gpl-2.0", "bsd", "mit"}),
+             ("Released under the MIT License, Licensed under CC BY-SA 4.0. All rights reserved.", {"mit", "cc-by-sa", "proprietary"}),
+             ("The house is under the\ntree of the license,\nversion 3 of the day.", set()),
+             ("This work is licensed under the GNU General Public License,\nversion 2.", {"gpl-2.0"}),
+             ("The work. " + "x" * 168 + " work\nThis work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}),
+             ("The work\n" + "x " * 85 + "\nThis work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"})]
+    docs = rows(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])
+    got = {r.doc_id: [x.family for x in r.licences] for r in licenses.scan(docs).collect()}
+    assert [(set(got[i]), len(got[i])) for i in range(len(texts))] == [(want, len(want)) for _, want in texts]
