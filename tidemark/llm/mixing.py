@@ -27,6 +27,8 @@ from tidemark.llm.shared import Work, packed
 WEIGHTS, MOST, BLOCK_WORDS = (5, 2, 1), 3, 256
 #: Rows of a chunk, about.
 CHUNK_ROWS = 16_384
+#: Share of a source's target that whole rows may be off.
+SLACK = 0.125
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -164,12 +166,71 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block_words: int =
             pieces.select("slot", "doc_id", "from", "words"))
 
 
+def _rounded(groups: DataFrame, work: Work) -> DataFrame:
+    """``group, more, cut``: whole rows to add or take off, and words of a row that is cut, so that sources meet their targets.
+
+    Of a source's line only the last row taken is in part.  Its words are made up by other whole rows
+    that fit, or it is taken whole and others that fit are left out, whichever comes nearer; one row
+    of each of the sizes ``2**(i / 16)`` is tried, the longest first.  If both are off by over
+    ``SLACK`` of the target, the row itself is cut.
+    """
+    edge = groups.filter("part > 0").select(
+        "home", F.col("group").alias("edge"), "part", (F.col("size") - F.col("part")).alias("over"), "target")
+    edge = work.keep(edge, "edge")
+    others = groups.select("home", "group", "size", "copies", "units").join(edge.select("home", "edge", "part", "over"), "home").filter(
+        "group != edge")
+
+    def fitting(rows, room, name):
+        reps = rows.filter(F.col("size") <= F.col(room)).groupBy("home", room, F.floor(F.log2("size") * 16).alias("class")).agg(
+            F.max(F.struct("size", "group")).alias("rep"))
+        listed = reps.groupBy("home", room).agg(F.sort_array(F.collect_list("rep"), asc=False).alias("reps"))
+        kind = "struct<rest:bigint,groups:array<bigint>>"
+        fit = F.aggregate("reps", F.struct(F.col(room).alias("rest"), F.array().alias("groups")).cast(kind), lambda s, r: F.when(
+            r["size"] <= s["rest"], F.struct((s["rest"] - r["size"]).alias("rest"), F.concat(s["groups"], F.array(r["group"])).alias("groups")).cast(kind)).otherwise(s))
+        return listed.select("home", fit.alias(name))
+
+    ways = (edge.join(fitting(others.filter(F.col("units") < MOST * F.col("copies")), "part", "added"), "home", "left")
+            .join(fitting(others.filter("units > 0"), "over", "dropped"), "home", "left"))
+    under, above = F.coalesce("added.rest", "part"), F.coalesce("dropped.rest", "over")
+    none = F.array().cast("array<bigint>")
+
+    def change(ids, more):
+        return F.transform(F.coalesce(ids, none), lambda g: F.struct(
+            g.alias("group"), F.lit(more).cast("bigint").alias("more"), F.lit(0).cast("bigint").alias("cut")))
+
+    cut = F.array(F.struct(F.col("edge").alias("group"), F.lit(0).cast("bigint").alias("more"), F.col("part").alias("cut")))
+    changes = F.when(F.least(under, above) > F.lit(SLACK) * F.col("target"), cut).when(
+        above < under, F.concat(change(F.array("edge"), 1), change(F.col("dropped.groups"), -1))).otherwise(
+        change(F.col("added.groups"), 1))
+    return ways.select(F.explode(changes).alias("c")).select("c.*")
+
+
 def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes its words, to the nearest whole number."""
+    """The rows of ``docs``, each as often as the mixture takes its words.
+
+    What the mixture takes of a row in part is made up by whole rows of its source; where they leave
+    the source further than ``SLACK`` from its target, as beside one long document, the row comes with
+    its first words only.  Rows alike in id, source and size are told apart by their texts' hash.
+    """
+    work = Work(docs.sparkSession)
     taken, _ = mix(docs, weights, block_words)
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken")).filter("size > 0 and taken * 2 >= size")
-    rows = packed(docs).withColumn("size", F.regexp_count(F.col("row.text").cast("string"), F.lit(WORD)))
-    rows = rows.join(taken, F.col("row.doc_id").cast("long").eqNullSafe(taken.doc_id)
-                     & F.col("row.source").cast("string").eqNullSafe(taken.source) & (rows["size"] == taken["size"]))
-    times = F.floor(F.col("taken") / taken["size"] + 0.5).cast("int")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    id_, source = F.col("doc_id"), F.col("source")
+    group = F.xxhash64(id_.isNull(), id_, source.isNull(), source, "size")
+    groups = taken.filter("size > 0").withColumn("group", group).withColumn("home", F.xxhash64(source.isNull(), source)).groupBy(
+        "group", "home", "size", "target").agg(F.sum("taken").alias("words"), F.count(F.lit(1)).alias("copies"))
+    groups = work.keep(groups.withColumn("units", F.expr("words div size")).withColumn("part", F.expr("words % size")), "groups")
+    counts = groups.join(_rounded(groups, work), "group", "left").select(
+        "group", "size", "copies", (F.col("units") + F.coalesce("more", F.lit(0))).alias("units"), F.coalesce("cut", F.lit(0)).alias("cut"))
+    counts = work.keep(counts.filter("units > 0 or cut > 0"), "counts")
+    text = F.col("row.text").cast("string")
+    keys = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"),
+                               F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = keys.select("row", group.alias("group")).join(counts, "group")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64(text))) - 1)
+    extra = F.col("units") % F.col("copies")
+    times = F.expr("units div copies") + (F.col("nth") < extra).cast("long")
+    parts = F.when((F.col("cut") > 0) & (F.col("nth") == extra), F.array("cut")).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("row", "size", F.explode(F.concat(F.array_repeat("size", times.cast("int")), parts)).alias("own"))
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("own").cast("int")), "")
+    return rows.select(*[F.when(F.col("own") < F.col("size"), first).otherwise(F.col("row.text")).alias(c) if c == "text"
+                         else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
