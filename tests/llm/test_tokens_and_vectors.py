@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -60,6 +61,24 @@ def test_harmonic_packing(spark, tokenizer):
     assert max(p.length for p in pieces) == 2048
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_agrees_with_the_tokenizer(name):
+    """Words of any characters, special tokens among them, and a tokenizer of other rules."""
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path(name), random.Random(1)
+    texts = ["it's Foo'S 'sam don't", "<|endoftext|>A<|x <|startoftext|>É <|ENDOFTEXT|>", "a\x1cb\x85c\xa0d", "é \u0301x A\u030a", "ΑΣ ΣΑΣ. ǅ İI ﬁ",
+             "\u2003 b\u3000c 1234 5.6,7 ½ ²", None, "", " \n"]
+    for alphabet in ("aZéÀß!.,&(<|>×÷ÿ$ ^`_~", "aAbé'\u0301 \t\n.,<|>12ßΣİ\x1c\u3000st"):
+        texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 50))) for _ in range(500)]
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = harmonic.Encoder(path)
+    assert encoder.apart == (name == "word_bpe_49k.json")
+    for _ in range(2):  # from the tokenizer, then from the table
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+
+
 def test_harmonic_query(spark):
     pieces = {(r.doc_id, r.start): r for r in harmonic.pack_tokens(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY).collect()}
     got = queries.op11_harmonic(spark, SF).collect()

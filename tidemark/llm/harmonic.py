@@ -8,50 +8,94 @@ are short and many to a bin, have room left, less than one more piece.  Each par
 packs by itself with one open bin to a class, in one pass and without a shuffle.  The bins still open
 at its end are cut into sequences of powers of two, which need no padding.
 
-The tokenizer is a file of the ``tokenizers`` library.  Words between white space are encoded apart and
-kept in a bounded table; its pre-tokenizer must therefore cut at white space and drop it.
+The tokenizer is a file of the ``tokenizers`` library.  Where its rules allow, words are encoded apart and
+kept in a bounded table.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, LEAST_CUT, END_ID = 2048, 64, 1
-#: Words kept by a worker, and the longest of them; the table starts anew when it is full.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+#: Words and parts of words kept by a worker, and the longest of them; a full table starts anew.
+KEPT, KEPT_CHARS = 600_000, 64
 _SEQUENCES = 1 << 36  # of a partition at most
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
+#: The text rules under which words between white space are encoded apart from each other.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Under them, runs of these letters and of these marks are the parts of a word that has no other characters.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_parts = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+").findall
+_plain = re.compile(f"[{_LETTERS}{_MARKS}]+").fullmatch
+
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, by a tokenizer's file."""
+    """Texts to little-endian unsigned 32-bit ids, by a tokenizer's file.
+
+    With the text rules above, each distinct word is encoded once, a plain one from its parts, which
+    many words share.  With other rules whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.apart = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+        self.special = [t["content"][:2] for t in rules["added_tokens"]]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.kept: dict[str, bytes] = {}
+        self.kept_parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.kept_parts.get(part)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(part) <= KEPT_CHARS:
+                self.kept_parts[part] = ids
+        return ids
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if _plain(word) and not any(s in word for s in self.special):
+            return b"".join(map(self._part, _parts(word.lower())))
+        return self._encode(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [_words(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
+        if not self.apart:
+            return [self._encode(t) if t else b"" for t in texts]
+        lines = [_words(t) if t else [] for t in texts]
+        if len(self.kept) > KEPT:
             self.kept = {}
-        new = list(set().union(*words).difference(self.kept))
-        table = dict(self.kept) if any(len(w) > KEPT_CHARS for w in new) else self.kept
-        if new:
-            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array([w for w in found.word_ids], np.int64), minlength=len(new)))
-            spans = zip(new, [0, *ends[:-1].tolist()], ends.tolist())
-            table.update((w, ids[a:b]) for w, a, b in spans)
-            if table is not self.kept:
-                self.kept.update((w, table[w]) for w in new if len(w) <= KEPT_CHARS)
-        return [b"".join([table[w] for w in line]) for line in words]
+        if len(self.kept_parts) > KEPT:
+            self.kept_parts = {}
+        table, long = self.kept, {}
+        for word in set().union(*lines).difference(table):
+            (table if len(word) <= KEPT_CHARS else long)[word] = self._word(word)
+        if long:
+            table = {**table, **long}
+        return [b"".join([table[w] for w in line]) for line in lines]
 
 
 _encoders: dict[str, Encoder] = {}
