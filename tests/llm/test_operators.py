@@ -318,6 +318,41 @@ def test_nearest_recall(spark, monkeypatch):
     assert collisions.nearest(frame.filter("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_2000(spark):
+    """Recall on the middle table, and how many rows are verified for it."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = sorted((r.vec_id, np.array(r.embedding, float)) for r in table.collect())
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data])
+    block, found, total = collisions.Block(ids, x), 0, 0
+    got = {}
+    for r in collisions.nearest(table, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[i]) ** 2).sum(1))
+        far[i] = np.inf
+        want = set(ids[np.argsort(far, kind="stable")[:10]].tolist())
+        found, total = found + len(want & got[ids[i]]), total + 10
+        block.widen(x[i], ids[i], 10)
+    assert set(got) == set(ids[ids % 100 == 0].tolist())
+    assert found >= 0.9 * total
+    assert block.verified < 0.1 * len(ids) * len(got)
+
+
+@pytest.mark.parametrize("rows", [5, 1000])
+def test_nearest_ties_and_copies(spark, monkeypatch, rows):
+    """Copies in all blocks: the least ids, in order, however the rows are dealt."""
+    monkeypatch.setattr(collisions, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(collisions, "QUERY_ROWS", 2)
+    near, far = [1.0, 0.0, 0.0], [-5.0, 1.0, 2.0]
+    data = [(i, near) for i in range(100, 160)] + [(7, far), (7, far), (8, [1.0, 2.0]), (9, None), (10, [0.0, 0.0, 0.0]), (None, near),
+                                                  (11, [float("nan"), 1.0, 1.0]), (12, [1.0, None, 2.0]), (13, [])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("number", F.lit("x"))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in collisions.nearest(frame, F.col("vec_id").isin(7, 8, 120, 159), 3).collect())
+    apart = float(np.sqrt(36 + 1 + 4))
+    assert got == [(7, 1, 100, apart), (7, 2, 101, apart), (7, 3, 102, apart), (120, 1, 100, 0), (120, 2, 101, 0), (120, 3, 102, 0),
+                   (159, 1, 100, 0), (159, 2, 101, 0), (159, 3, 102, 0)]
+
+
 def test_quality(spark, odd, none):
     got = queries.op1_quality(spark, "/root/testdata/sf0.01").collect()
     label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
