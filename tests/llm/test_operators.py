@@ -130,21 +130,31 @@ def test_repeats(documents, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     docs = documents.orderBy("doc_id").limit(120)
     data = docs.collect()
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.describe_repeats(docs, 400).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.describe_repeats(docs, 400).collect()}
     assert [got[r.doc_id] for r in data] == brute_repeats([r.text for r in data], 400)
 
 
 def test_repeats_odd(spark, none):
     texts = [None, "", "ab" * 40, "ab" * 40, "x" * 25, "q" + "é" * 30, "é" * 30, "0123456789abcdefghij", "z0123456789abcdefghijy"]
     docs = rows(spark, [(i, t, None, None) for i, t in enumerate(texts)])
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.describe_repeats(docs, 20).collect()}
+    found = repeats.describe_repeats(docs, 20).collect()
+    got = {r.doc_id: tuple(r)[1:5] for r in found}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 20)
     left = repeats.remove_repeats(docs, 20)
+    assert {r.doc_id: r.text for r in left.collect()} == {r.doc_id: r.text for r in found}
     assert left.columns == docs.columns
     assert {r.doc_id: r.text for r in left.collect()} == {0: None, 1: "", 2: "", 3: "", 4: "", 5: "q", 6: "", 7: "", 8: "zy"}
     assert repeats.describe_repeats(none).count() == 0
 
 
+def test_repeats_of_null_ids_copies_and_long_texts(odd):
+    """The two long texts of one letter pattern go whole, as do the equal ones; null ids count as others do."""
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.text) for r in repeats.describe_repeats(odd, 30).collect())
+    assert [(i, n, gone) for i, n, gone, _, _ in got] == sorted(
+        (i or 0, len((t or "").encode()), len(t.encode()) if t and len(t) > 100 else 0) for i, t, _, _ in ODD)
+    assert [g[4] for g in got if g[0] == 6] == [""]
+
+
 def test_suffix_sort():
     parts = [b"banana", b"ban", b"", b"band", b"apple", b"banana"]
     s, group = repeats.Strings(parts), np.zeros(6, int)

@@ -280,7 +280,7 @@ def _find(texts: DataFrame, length: int, size: int, work: Work, name: str) -> tu
     small = _sorted(_contexts(wanted.filter("size(small) > 0").withColumnRenamed("small", "wanted").drop("large"), length, size, False), length, size)
     large = wanted.filter("size(large) > 0").withColumnRenamed("large", "wanted").drop("small")
     by_d = ["gram", "context", (-F.col("most")).alias("low"), (F.lit(length) - F.col("least")).alias("high")]
-    if 4 * size < 3 * length:
+    if size < 3 * length // 4:
         # Rows of several keys alike would count one context twice.
         large = work.keep(_contexts(large, length, size, False).dropDuplicates(["gram", "context"]).select(
             "gram", "context", F.xxhash64("gram", "context").alias("key"), F.concat("before", "after").alias("text"),
@@ -337,9 +337,14 @@ def find_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def describe_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` of every row of ``docs``.
+
+    ``kept_sha256`` is of the remaining bytes; ``text`` is what they spell, without what is left of a
+    character that was cut, and null where it was null.
+    """
     found = find_repeats(docs.select("doc_id", "text"), length).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "spans")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
         for batch in batches:
@@ -347,12 +352,14 @@ def describe_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode()
                 runs = _runs(spans or [], len(raw))
-                out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
+                kept = _kept(raw, runs)
+                out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "ignore") if runs else text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
