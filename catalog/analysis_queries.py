@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import tables as T
 from catalog.event_queries import second_events
 from catalog.registry import joined, query
-from catalog.sql import BROWSER, SECOND, mean, text
+from catalog.sql import BROWSER, KEYED, SECOND, mean, text
 from tidemark.functions.arrays import clean_name_lists
 from tidemark.operators import baseline as B
 from tidemark.operators import classify as K
@@ -21,6 +21,7 @@ from tidemark.operators import patterns as P
 from tidemark.operators import report as R
 from tidemark.operators import scenarios as S
 from tidemark.operators.select import any_flag, between_days
+from tidemark.operators.trend import break_segments
 from tidemark.plans.analysis import Analysis
 
 FORECAST = "tenant, metric, dim, member, ds, y, yhat, yhat_lower, yhat_upper"
@@ -49,6 +50,22 @@ def seasonal_baseline(spark, sf_dir):
     return B.seasonal_baseline(browser(spark, sf_dir).series)
 
 
+@query("baseline_breaks", f"SELECT {FORECAST} FROM bforecast_b")
+def baseline_breaks(spark, sf_dir):
+    """The baseline whose trend may break in two rounds."""
+    return B.seasonal_baseline(browser(spark, sf_dir).series, break_rounds=2)
+
+
+@query("trend_segments", """
+SELECT tenant, metric, dim, member, min(day) AS first_day, max(day) AS last_day, count(*) AS days
+FROM seg2_b GROUP BY tenant, metric, dim, member, segment""")
+def trend_segments(spark, sf_dir):
+    keys = list(B.SERIES)
+    days = break_segments(browser(spark, sf_dir).series, keys, 2)
+    return days.groupBy(*keys, "segment").agg(
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days")).drop("segment")
+
+
 @query("anomaly_score", f"SELECT {SCORED} FROM scored_b")
 def anomaly_score(spark, sf_dir):
     return B.score(B.seasonal_baseline(browser(spark, sf_dir).series))
@@ -137,6 +154,11 @@ def knee_eps(spark, sf_dir):
     return browser(spark, sf_dir).eps
 
 
+@query("knee_eps_local", "SELECT tenant, metric, dim, eps FROM leps_b")
+def knee_eps_local(spark, sf_dir):
+    return C.knee_eps(browser(spark, sf_dir).distances, "local")
+
+
 @query("max_contributors", "SELECT tenant, metric, dim, ds, contributors FROM bydim_b")
 def max_contributors(spark, sf_dir):
     return browser(spark, sf_dir).by_dim.withColumn("contributors", joined("contributors"))
@@ -212,6 +234,19 @@ def anomaly_report(spark, sf_dir):
     return _flat_contributors(R.wide_report(browser(spark, sf_dir).hour_report, B_METRICS), B_METRICS)
 
 
+WINDOW = ("2024-01-08 00:00:00", "2024-01-22 00:00:00")
+
+
+@query("anomaly_report_window", REPORT, keyed=KEYED.rstrip() + f"""
+WHERE ts >= TIMESTAMP {text(WINDOW[0])} AND ts < TIMESTAMP {text(WINDOW[1])}""", spine_b=f"""
+SELECT tenant, unnest(generate_series(TIMESTAMP {text(WINDOW[0])}, TIMESTAMP {text(WINDOW[1])} - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ds
+FROM scored_b GROUP BY tenant""")
+def anomaly_report_window(spark, sf_dir):
+    """The hour report of two weeks, as if there were no other events."""
+    a = Analysis(T.browser_events(spark, sf_dir), BROWSER, T.work(spark), start=WINDOW[0], end=WINDOW[1])
+    return _flat_contributors(R.wide_report(a.hour_report, B_METRICS), B_METRICS)
+
+
 @query("any_metric_anomaly", f"""
 SELECT * FROM ({REPORT}) WHERE visitors_anomaly = 1 OR orders_anomaly = 1 OR buyers_anomaly = 1""")
 def any_metric_anomaly(spark, sf_dir):
@@ -266,33 +301,45 @@ def second_tracker_metric_summary(spark, sf_dir):
     return R.metric_summary(a.hours, a.contributors, a.metric_names)
 
 
-def _merged(metric: str) -> str:
+def _merged(metric: str, profile=BROWSER) -> str:
     here = f"metric = {text(metric)}"
     columns = [f"max(CASE WHEN {here} AND dim = 'total' THEN {c} END) AS {metric}_{o}"
                for c, o in (("is_anomaly", "anomaly"), ("y", "value"), ("percent_diff", "percent_diff"))]
     columns += [f"max(CASE WHEN {here} AND dim = {text(r['dim'])} AND member = {text(r['member'])} "
                 f"THEN percent_diff END) AS \"{metric}_{r['dim']}_{r['member']}_contribution\""
-                for r in BROWSER.member_rows(totals=False) if r["metric"] == metric]
+                for r in profile.member_rows(totals=False) if r["metric"] == metric]
     return ", ".join(columns)
 
 
 MERGED = ("visitors", "orders", "buyers")
 
 
-@query("merged_wide", f"""
+def _merged_sql(t: str, profile) -> str:
+    return f"""
 SELECT *, hour(ds) AS time_hour FROM (
-  SELECT tenant, ds, {', '.join(_merged(m) for m in MERGED)},
+  SELECT tenant, ds, {', '.join(_merged(m, profile) for m in MERGED)},
     string_agg(CASE WHEN dim = 'total' AND is_anomaly = 1 THEN metric || ' %diff: ' || coalesce(
       printf('%.1f%%', round(percent_diff * 100, 1)), 'n/a') END, ', '
       ORDER BY CASE metric WHEN 'visitors' THEN 0 WHEN 'orders' THEN 1 ELSE 2 END) AS anomalous_metrics
-  FROM scored_b WHERE metric IN ('visitors', 'orders', 'buyers') GROUP BY tenant, ds)
-WHERE visitors_anomaly IS NOT NULL""")
-def merged_wide(spark, sf_dir):
-    a = browser(spark, sf_dir)
+  FROM scored_{t} WHERE metric IN ('visitors', 'orders', 'buyers') GROUP BY tenant, ds)
+WHERE visitors_anomaly IS NOT NULL"""
+
+
+def _merged_wide(a: Analysis) -> DataFrame:
     wide = R.merged_wide(a.scored, a.member_rows, MERGED)
     return wide.withColumn("anomalous_metrics", joined("anomalous_metrics", ", "))
 
 
+@query("merged_wide", _merged_sql("b", BROWSER))
+def merged_wide(spark, sf_dir):
+    return _merged_wide(browser(spark, sf_dir))
+
+
+@query("second_tracker_merged", _merged_sql("s", SECOND))
+def second_tracker_merged(spark, sf_dir):
+    return _merged_wide(second(spark, sf_dir))
+
+
 @query("hour_annotations", """
 SELECT v.tenant, v.ds AS hour, t.metric, t.percent_diff AS change,
   CASE WHEN t.metric IS NOT NULL THEN CASE WHEN t.percent_diff > 0 THEN 'green' ELSE 'red' END END AS colour,

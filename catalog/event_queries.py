@@ -12,6 +12,7 @@ from catalog.registry import query
 from catalog.sql import BROWSER, SECOND, earliest, first_match, text
 from tidemark.functions import dimensions as D
 from tidemark.functions.timeparts import TRUNCATE_UNITS, parse_time, truncate
+from tidemark.operators import bitmaps as M
 from tidemark.operators import cube as Q
 from tidemark.operators import dedup as U
 from tidemark.operators import select as S
@@ -20,8 +21,11 @@ from tidemark.plans.analysis import Analysis
 from tidemark.plans.default_config import AGENT_RULES, DEVICE_MAPPING, default_config
 from tidemark.plans.profiles import SECOND_REGISTRY, member_table
 from tidemark.sources.config import parse_config
+from tidemark.sources.daily import DailyActivity
 from tidemark.sources.events import CORE_COLUMNS, EVENT_SCHEMA, check_columns, from_second_tracker
 from tidemark.sources.sinks import read_kpi_csv, write_report_csv
+from tidemark.streaming import hourly as H
+from tidemark.streaming import keys as K
 
 SESSION_COLUMNS = {
     "event_type": "first_event_type", "event_name": "first_event_name", "shop": "shop",
@@ -279,6 +283,33 @@ def first_occurrence(spark, sf_dir):
     return E.first_occurrence(T.browser_events(spark, sf_dir), kpi)[0]
 
 
+#: Folders that the streamed events come in, and how many a batch takes.
+ARRIVALS, ARRIVALS_AT_ONCE = 6, 2
+
+
+def _streamed_visitors(spark, sf_dir):
+    """Changes of the earliest row per visitor, from events that arrive in files of mixed times."""
+    work = T.work(spark)
+    events = browser(spark, sf_dir).select("tenant", "visitor", "event_timestamp", "geo", "device", "event_details_id")
+    events.repartition(ARRIVALS, "event_details_id").write.parquet(work.path("arrivals"))
+    arriving = H.event_stream(spark, events.schema, work.path("arrivals"), maxFilesPerTrigger=ARRIVALS_AT_ONCE)
+    return K.drain(K.earliest_keys(arriving, ["tenant", "visitor"], ["geo", "device"]), work.path("stream"))
+
+
+@query("visitors_unique_stream", "SELECT tenant, visitor, event_timestamp, geo, device FROM ("
+       + earliest("ev_b", "tenant, visitor", "geo, device") + ")")
+def visitors_unique_stream(spark, sf_dir):
+    return K.settled(_streamed_visitors(spark, sf_dir))
+
+
+@query("hourly_visitors_stream", f"""
+SELECT tenant, date_trunc('hour', event_timestamp) AS time, device AS member, count(*) AS n,
+  hour(event_timestamp) AS time_hour FROM ({earliest("ev_b", "tenant, visitor", "geo, device")}) GROUP BY ALL""")
+def hourly_visitors_stream(spark, sf_dir):
+    """Visitors per hour and device, added up from the changes."""
+    return K.hourly_changes(_streamed_visitors(spark, sf_dir), "device", by=["tenant"])
+
+
 # --- hourly tables ---------------------------------------------------------------------------
 
 def _hourly(member: str, source: str = "ev_b", where: str = "event_name = 'checkout_completed'") -> str:
@@ -338,6 +369,22 @@ def kpi_grouping_sets(spark, sf_dir):
     return Q.grouping_sets_cube(orders(spark, sf_dir))
 
 
+LEVELS = (("tenant", "ds"), ("tenant", "ds", "geo"), ("tenant", "ds", "device"), ("tenant", "day"),
+          ("tenant", "day", "geo"), ("tenant", "device"), ("tenant",))
+LEVEL_COLUMNS = ("tenant", "day", "ds", "geo", "device")
+
+
+@query("visitors_grouping_sets", " UNION ALL ".join(
+    f"SELECT {', '.join(c if c in level else f'NULL AS {c}' for c in LEVEL_COLUMNS)}, {i} AS level, count(DISTINCT visitor) AS n "
+    f"FROM hours_b GROUP BY {', '.join(level)}" for i, level in enumerate(LEVELS)), hours_b="""
+SELECT *, CAST(event_timestamp AS DATE) AS day, date_trunc('hour', event_timestamp) AS ds FROM ev_b""")
+def visitors_grouping_sets(spark, sf_dir):
+    """Unique visitors by hour, day, member and altogether, from one set of bitmaps."""
+    hours = browser(spark, sf_dir).withColumns({
+        "ds": truncate(F.col("event_timestamp")), "day": F.col("event_timestamp").cast("date")})
+    return M.unique_levels(hours, "visitor", LEVEL_COLUMNS, LEVELS)
+
+
 # --- second tracker and members --------------------------------------------------------------
 
 @query("members_present", "SELECT c.* FROM cube_s c SEMI JOIN reg_s r USING (metric, dim, member)")
@@ -355,6 +402,20 @@ def kpi_cube(spark, sf_dir):
     return Q.kpi_cube(Analysis(T.browser_events(spark, sf_dir), BROWSER, T.work(spark)).activity, BROWSER)
 
 
+@query("kpi_cube_incremental", "SELECT * FROM cube_b")
+def kpi_cube_incremental(spark, sf_dir):
+    """The cube of days kept from three uneven loads, of which one is late and one comes twice."""
+    events, day = T.browser_events(spark, sf_dir), F.to_date("event_timestamp")
+    kept = DailyActivity(spark, T.work(spark).path("days"), BROWSER)
+    late = (F.dayofmonth(day) % 10 == 4) & (F.hour("event_timestamp") >= 9)
+    early = F.dayofmonth(day) <= 11
+    kept.add(events.where(early & ~late), "first")
+    kept.add(events.where(~early & ~late), "second")
+    kept.add(events.where(~early & ~late), "second")
+    kept.add(events.where(late), "late")
+    return Q.kpi_cube(kept.read(), BROWSER)
+
+
 @query("member_totals", """
 SELECT metric, dim, member, CAST(sum(y) AS BIGINT) AS n FROM cube_b GROUP BY ALL""")
 def member_totals(spark, sf_dir):

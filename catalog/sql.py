@@ -199,6 +199,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {panel} ORDER BY distance, ds) -
 SELECT {panel}, max(CASE WHEN rn = 1 AND high > low THEN distance END) AS eps
 FROM (SELECT *, row_number() OVER (PARTITION BY {panel} ORDER BY below DESC, i) AS rn FROM knee_{t})
 GROUP BY {panel}""",
+        f"walk_{t}": f"""
+SELECT *, CASE WHEN below <= coalesce(before, below) AND below <= coalesce(after, below) THEN 0.0::DOUBLE
+    WHEN below >= coalesce(before, below) AND below >= coalesce(after, below)
+      THEN round(below - 1.0::DOUBLE / (n - 1), 9) END AS mark,
+  CASE WHEN below >= coalesce(before, below) AND below >= coalesce(after, below) THEN distance END AS peak
+FROM (SELECT *, lag(below) OVER w AS before, lead(below) OVER w AS after FROM knee_{t} WHERE high > low
+  WINDOW w AS (PARTITION BY {panel} ORDER BY i DESC))""",
+        f"leps_{t}": f"""
+SELECT p.tenant, p.metric, p.dim, k.eps FROM (SELECT DISTINCT {panel} FROM knee_{t}) p
+LEFT JOIN (SELECT {panel}, arg_max(peak, i) AS eps FROM (
+    SELECT {panel}, i, after, last_value(mark IGNORE NULLS) OVER w AS mark, last_value(peak IGNORE NULLS) OVER w AS peak
+    FROM walk_{t} WINDOW w AS (PARTITION BY {panel} ORDER BY i DESC ROWS UNBOUNDED PRECEDING))
+  WHERE peak IS NOT NULL AND after < mark GROUP BY {panel}) k
+ON k.tenant = p.tenant AND k.metric = p.metric AND k.dim = p.dim""",
         f"cluster_{t}": f"""
 SELECT *, sum(CASE WHEN round(size - before, 6) > eps * 0.5 THEN 1 ELSE 0 END) OVER (
   PARTITION BY {panel}, ds ORDER BY size, member ROWS UNBOUNDED PRECEDING) AS cluster
@@ -301,7 +315,7 @@ SELECT tenant, group_id, contributor, count(metric) AS metrics FROM consistent_{
 GROUP BY ALL HAVING count(metric) >= 2""",
         f"case_{t}": f"""
 SELECT b.tenant, b.group_id,
-  CASE WHEN single_hour OR n_metrics = 1 THEN 'D' WHEN by_metric IS NULL THEN 'C'
+  CASE WHEN single_hour OR n_metrics = 1 THEN 'D' WHEN NOT coalesce(has_names, FALSE) THEN 'C'
     WHEN shared IS NOT NULL THEN 'A' ELSE 'B' END AS scenario,
   b.start_hour, b.end_hour, CASE WHEN b.sign > 0 THEN 'Positive' ELSE 'Negative' END AS sign,
   b.metrics, b.n_metrics, s.shared, c.by_metric, f.first_names, b.single_hour
@@ -313,9 +327,13 @@ FROM (SELECT g.tenant, g.group_id, g.sign, g.start_hour, g.end_hour, g.start_hou
   ON m.tenant = g.tenant AND m.group_id = g.group_id) b
 LEFT JOIN (SELECT tenant, group_id, string_agg(contributor, ',' ORDER BY contributor) AS shared
   FROM shared_{t} GROUP BY ALL) s ON s.tenant = b.tenant AND s.group_id = b.group_id
-LEFT JOIN (SELECT tenant, group_id, string_agg(metric || ':' || names, ';' ORDER BY metric) AS by_metric
-  FROM (SELECT tenant, group_id, metric, string_agg(contributor, ',' ORDER BY contributor) AS names
-    FROM consistent_{t} GROUP BY ALL) GROUP BY ALL) c ON c.tenant = b.tenant AND c.group_id = b.group_id
+LEFT JOIN (SELECT h.tenant, h.group_id, bool_or(n.names IS NOT NULL) AS has_names,
+    string_agg(h.metric || ':' || coalesce(n.names, ''), ';' ORDER BY h.metric) AS by_metric
+  FROM (SELECT DISTINCT tenant, group_id, metric FROM ghour_{t} WHERE contributors IS NOT NULL) h
+  LEFT JOIN (SELECT tenant, group_id, metric, string_agg(contributor, ',' ORDER BY contributor) AS names
+    FROM consistent_{t} GROUP BY ALL) n
+  ON n.tenant = h.tenant AND n.group_id = h.group_id AND n.metric = h.metric GROUP BY h.tenant, h.group_id) c
+ON c.tenant = b.tenant AND c.group_id = b.group_id
 LEFT JOIN (SELECT tenant, group_id, contributors AS first_names FROM (
     SELECT *, row_number() OVER (PARTITION BY tenant, group_id ORDER BY ds) AS rn
     FROM ghour_{t} WHERE contributors IS NOT NULL) WHERE rn = 1) f
@@ -376,9 +394,59 @@ SELECT tenant, CAST(group_id AS BIGINT) AS group_id, bool_or(positive) AS positi
     })
 
 
+def _line_error(n: str, *sums: str) -> str:
+    """Squared distances to the best line, from exact sums of x, y, xx, xy and yy."""
+    x, y, xx, xy, yy = sums
+
+    def whole(value: str) -> str:
+        return f"CAST({value} AS DOUBLE)"
+
+    across, both = whole(f"{n} * {xx} - {x} * {x}"), whole(f"{n} * {xy} - {x} * {y}")
+    down = whole(f"{n} * {yy} - {y} * {y}")
+    return f"(({down} - coalesce({both} * {both} / nullif({across}, 0), 0)) / {whole(n)})"
+
+
+def add_breaks(t: str, rounds: int) -> None:
+    """The baseline whose trend breaks, in ``rounds`` rounds: every candidate of every segment is priced."""
+    s = "tenant, metric, dim, member"
+    sums = {"n": "1", "x": "x", "y": "total", "xx": "x * x", "xy": "x * total", "yy": "total * total"}
+    left, every = [f"l_{k}" for k in sums], [f"a_{k}" for k in sums]
+    rest = [f"({a} - {b})" for a, b in zip(every, left)]
+    CTES[f"seg0_{t}"] = f"""
+SELECT *, date_diff('day', min(day) OVER w, day) AS x, count(*) OVER w AS days, 0 AS segment
+FROM (SELECT {s}, CAST(ds AS DATE) AS day, sum(y) AS total FROM series_{t} GROUP BY ALL) WINDOW w AS (PARTITION BY {s})"""
+    for i in range(rounds):
+        CTES[f"runs{i}_{t}"] = f"""
+SELECT *, {', '.join(f"CAST(sum({v}) OVER r AS HUGEINT) AS l_{k}, CAST(sum({v}) OVER g AS HUGEINT) AS a_{k}" for k, v in sums.items())}
+FROM seg{i}_{t} WINDOW r AS (PARTITION BY {s}, segment ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY {s}, segment)"""
+        CTES[f"cost{i}_{t}"] = f"""
+SELECT *, CASE WHEN l_n >= 3 AND a_n - l_n >= 3 THEN {_line_error(*left)} + {_line_error(*rest)} END AS after,
+  {_line_error(*every)} AS before FROM runs{i}_{t}"""
+        CTES[f"least{i}_{t}"] = f"SELECT *, min(after) OVER (PARTITION BY {s}, segment) AS best FROM cost{i}_{t}"
+        CTES[f"seg{i + 1}_{t}"] = f"""
+SELECT {s}, day, total, x, days, segment * 2 + CASE WHEN x > place
+  AND before > best * pow(CAST(days AS DOUBLE), 3.0::DOUBLE / CAST(a_n AS DOUBLE)) THEN 1 ELSE 0 END AS segment
+FROM (SELECT *, min(CASE WHEN after = best THEN x END) OVER (PARTITION BY {s}, segment) AS place FROM least{i}_{t})"""
+    CTES.update({
+        f"btrend_{t}": f"""
+SELECT p.*, coalesce(regr_slope(p.y, p.x) OVER g * p.x + regr_intercept(p.y, p.x) OVER g, avg(p.y) OVER g) AS trend
+FROM span_{t} p JOIN seg{rounds}_{t} d ON d.tenant = p.tenant AND d.metric = p.metric AND d.dim = p.dim
+  AND d.member = p.member AND d.day = CAST(p.ds AS DATE)
+WINDOW g AS (PARTITION BY p.tenant, p.metric, p.dim, p.member, d.segment)""",
+        f"bhod_{t}": f"SELECT *, avg(y - trend) OVER (PARTITION BY {s}, hour(ds)) AS by_hour FROM btrend_{t}",
+        f"bdow_{t}": f"""
+SELECT *, trend + by_hour + avg(y - trend - by_hour) OVER (PARTITION BY {s}, dayofweek(ds)) AS expected FROM bhod_{t}""",
+        f"bspread_{t}": f"""
+SELECT *, 1.28155 * coalesce(stddev_samp(y - expected) OVER (PARTITION BY {s}), 0) AS spread FROM bdow_{t}""",
+        f"bforecast_{t}": f"""
+SELECT tenant, metric, dim, member, ds, y, round(expected, 6) AS yhat,
+  round(expected - spread, 6) AS yhat_lower, round(expected + spread, 6) AS yhat_upper FROM bspread_{t}""",
+    })
+
+
 add_tracker("b", BROWSER)
 add_tracker("s", SECOND)
-
+add_breaks("b", 2)
 
 
 def sql(body: str, **more: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio, rounded
 from tidemark.functions.timeparts import whole_hours
+from tidemark.operators.trend import break_segments
 
 SERIES = ("tenant", "metric", "dim", "member")
 
@@ -16,12 +17,13 @@ WEIGHT_HOURS = 8
 
 
 def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_WIDTH,
-                      weekday: bool = True) -> DataFrame:
+                      weekday: bool = True, break_rounds: int = 0) -> DataFrame:
     """Adds ``yhat, yhat_lower, yhat_upper`` to ``keys + ds + y``.
 
     Linear trend, plus the mean remainder per hour of day, plus (with ``weekday``) the mean
     remainder per weekday, however long the series; the band is a multiple of the standard
-    deviation of what is left.  A series of one point expects itself.
+    deviation of what is left.  A series of one point expects itself.  With ``break_rounds`` the trend is a line
+    for each segment of the series between its breaks (``trend.break_segments``).
 
     All windows partition by the series or by more than it, so one shuffle serves them all,
     and two sorts: by series, hour of day and hour (so sums are taken in one order), then by weekday.  A series has one
@@ -31,6 +33,11 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
     by_hour = Window.partitionBy(*keys, "hour_of_day")
     by_weekday = Window.partitionBy(*keys, "weekday")
     timed = series.withColumns({"hour_of_day": F.hour("ds"), "weekday": F.weekday("ds")})
+    straight = whole
+    if break_rounds:
+        segments = break_segments(series, keys, break_rounds)
+        timed = timed.withColumn("day", F.col("ds").cast("date")).join(segments, [*keys, "day"])
+        straight = Window.partitionBy(*keys, "segment")
     # A set number of partitions: the windows cost far more than the size of their rows tells
     # the adaptive planner, which would put too many series into one task.
     partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -39,8 +46,8 @@ def seasonal_baseline(series: DataFrame, keys=SERIES, band_width: float = BAND_W
         .withColumn("start", F.min("ds").over(whole))
         .withColumn("x", whole_hours(F.col("start"), F.col("ds")))
         .withColumn("trend", F.coalesce(
-            F.regr_slope("y", "x").over(whole) * F.col("x") + F.regr_intercept("y", "x").over(whole),
-            F.avg("y").over(whole)))
+            F.regr_slope("y", "x").over(straight) * F.col("x") + F.regr_intercept("y", "x").over(straight),
+            F.avg("y").over(straight)))
         .withColumn("by_hour", F.avg(F.col("y") - F.col("trend")).over(by_hour))
         .withColumn("by_weekday", F.avg(
             F.col("y") - F.col("trend") - F.col("by_hour")).over(by_weekday) if weekday else F.lit(0.0))

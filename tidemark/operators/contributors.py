@@ -81,9 +81,16 @@ def nn_distance(vectors: DataFrame) -> DataFrame:
     return found.withColumn("distance", rounded(F.when(~F.isnan("distance"), F.col("distance"))))
 
 
-def knee_eps(distances: DataFrame) -> DataFrame:
-    """Knee of each panel's sorted distances: the one farthest below the straight line from
-    the smallest to the largest.  Null without spread."""
+def knee_eps(distances: DataFrame, rule: str = "global", sensitivity: float = 1.0) -> DataFrame:
+    """Knee of each panel's sorted distances, null without spread.
+
+    ``global``: the distance farthest below the straight line from the smallest to the largest.
+    ``local``: walking from the largest distance down, the first one that is a local maximum of that
+    depth and after which the depth falls by more than ``sensitivity`` steps of the axis before it
+    rises again (a local minimum lowers the mark to 0); null if there is none.
+    """
+    if rule not in ("global", "local"):
+        raise ValueError(f"unknown knee rule {rule!r}, expected 'global' or 'local'")
     panel = Window.partitionBy(*PANEL)
     ranked = distances.where(F.col("distance").isNotNull()).select(
         *PANEL, "distance",
@@ -94,13 +101,32 @@ def knee_eps(distances: DataFrame) -> DataFrame:
     below = F.col("i") / F.nullif(F.col("n") - 1, F.lit(0)) - (
         F.col("distance") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     usable = F.col("high") > F.col("low")
+    ranked = ranked.withColumn("below", F.round(below, 9))
+    if rule == "local":
+        return _local_knee(ranked, sensitivity)
     return (
-        ranked.withColumn("below", F.round(below, 9))
-        .groupBy(*PANEL)
+        ranked.groupBy(*PANEL)
         .agg(F.max_by("distance", F.when(usable, F.struct("below", (-F.col("i")).alias("i")))).alias("eps"))
     )
 
 
+def _local_knee(ranked: DataFrame, sensitivity: float) -> DataFrame:
+    down = Window.partitionBy(*PANEL).orderBy(F.desc("i"))
+    walked = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here, before, after = F.col("below"), F.lag("below").over(down), F.lead("below").over(down)
+    # The ends have one neighbour; equal neighbours make a place both a maximum and a minimum.
+    top = (here >= F.coalesce(before, here)) & (here >= F.coalesce(after, here))
+    bottom = (here <= F.coalesce(before, here)) & (here <= F.coalesce(after, here))
+    fall = F.round(here - F.lit(float(sensitivity)) / (F.col("n") - 1), 9)
+    marked = ranked.where(F.col("high") > F.col("low")).withColumns({
+        "mark": F.when(bottom, F.lit(0.0)).when(top, fall), "peak": F.when(top, F.col("distance")), "next": after})
+    seen = marked.withColumns({
+        "mark": F.last("mark", ignorenulls=True).over(walked), "peak": F.last("peak", ignorenulls=True).over(walked)})
+    found = F.col("peak").isNotNull() & (F.col("next") < F.col("mark"))
+    local = seen.groupBy(*PANEL).agg(F.max_by("peak", F.when(found, F.col("i"))).alias("eps"))
+    return ranked.select(*PANEL).distinct().join(local, list(PANEL), "left")
+
+
 def max_contributors(vectors: DataFrame, eps: DataFrame, factor: float = LINK_FACTOR) -> DataFrame:
     """Members in the topmost cluster of absolute values, null when there is one cluster.
 

@@ -11,13 +11,30 @@ from tidemark.functions.timeparts import stamp, truncate
 from tidemark.operators.baseline import top_level
 from tidemark.plans.profiles import each_of
 
+#: Days of the longest spine; a shop with more (as by an event dated far ahead) raises.
+SPINE_DAYS = 7320
 
-def hour_spine(series: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """Every hour from the shop's first to its last one, or from ``start`` to before ``end``."""
+
+def hour_spine(series: DataFrame, start: Column | None = None, end: Column | None = None,
+               most_days: int = SPINE_DAYS) -> DataFrame:
+    """Every hour from the shop's first to its last one, or from ``start`` to before ``end``.
+
+    Days are listed first and dealt out by shop and day, then each day's hours, so no shop's spine is
+    an array or a task of its own.  More than ``most_days`` days raise an error that names the shop.
+    """
     bounds = series.groupBy("tenant").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
     first = F.col("first") if start is None else truncate(start)
     last = F.col("last") if end is None else truncate(end - F.expr("interval 1 microsecond"))
-    return bounds.select("tenant", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))).alias("ds"))
+    spans = bounds.select("tenant", first.alias("first"), last.alias("last"))
+    days = F.datediff(F.col("last").cast("date"), F.col("first").cast("date"))
+    too_long = F.raise_error(F.concat(
+        F.lit("the hours of shop "), F.coalesce("tenant", F.lit("null")), F.lit(" span "), F.col("first").cast("string"), F.lit(" to "),
+        F.col("last").cast("string"), F.lit(f", more than {most_days} days: bound them with start and end")))
+    day = F.sequence(F.col("first").cast("date"), F.when(days > most_days, too_long.cast("date")).otherwise(F.col("last").cast("date")))
+    listed = spans.select("tenant", "first", "last", F.explode(day).alias("day")).repartition("tenant", "day")
+    hourly = listed.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    hour = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour"))
+    return hourly.select("tenant", "first", "last", hour.alias("ds")).where("ds >= first AND ds <= last").select("tenant", "ds")
 
 
 def hour_metrics(scored: DataFrame, metric_rows: list[dict], contributors: DataFrame,

@@ -44,23 +44,27 @@ def scenarios(spans: DataFrame, hours: DataFrame) -> DataFrame:
     """Scenario of each group.
 
     D: one hour or one metric.  C: several metrics, no consistent contributor.
-    A: one contributor consistent for two metrics.  B: the rest.
+    A: one contributor consistent for two metrics.  B: the rest.  A and B list every metric that has
+    contributors in some hour, those with none that is consistent with an empty list.
     """
     keys = ["tenant", "group_id"]
     consistent = consistent_contributors(hours)
     metrics = hours.groupBy(*keys).agg(
         F.array_sort(F.collect_set("metric")).alias("metrics"),
         F.min_by("contributors", F.when(F.col("contributors").isNotNull(), F.col("ds"))).alias("first_names"))
-    per_metric = consistent.groupBy(*keys, "metric").agg(
+    # Every metric with contributors, also where none of them is consistent.
+    named = hours.where(F.col("contributors").isNotNull()).select(*keys, "metric", F.lit(None).cast("string").alias("contributor"))
+    per_metric = consistent.select(*keys, "metric", "contributor").unionByName(named).groupBy(*keys, "metric").agg(
         F.array_sort(F.collect_list("contributor")).alias("names"))
-    by_metric = per_metric.groupBy(*keys).agg(F.map_from_entries(F.array_sort(
-        F.collect_list(F.struct("metric", "names")))).alias("by_metric"))
+    by_metric = per_metric.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "names")))).alias("by_metric"),
+        F.max(F.size("names")).alias("most_names"))
     shared = shared_contributors(consistent).groupBy(*keys).agg(
         F.array_sort(F.collect_list("contributor")).alias("shared"))
     single_hour = F.col("start_hour") == F.col("end_hour")
     scenario = (
         F.when(single_hour | (F.size("metrics") == 1), "D")
-        .when(F.col("by_metric").isNull(), "C")
+        .when(F.coalesce(F.col("most_names"), F.lit(0)) == 0, "C")
         .when(F.col("shared").isNotNull(), "A")
         .otherwise("B")
     )

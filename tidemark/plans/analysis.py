@@ -77,7 +77,7 @@ class Analysis:
     @cached_property
     def forecast(self) -> DataFrame:
         if self.forecaster is None:
-            return B.seasonal_baseline(self.series, weekday=self.profile.weekday)
+            return B.seasonal_baseline(self.series, weekday=self.profile.weekday, break_rounds=self.profile.break_rounds)
         return self.forecaster(self.series)
 
     @cached_property
@@ -94,7 +94,7 @@ class Analysis:
 
     @cached_property
     def eps(self) -> DataFrame:
-        return C.knee_eps(self.distances)
+        return C.knee_eps(self.distances, self.profile.knee, self.profile.sensitivity)
 
     @cached_property
     def by_dim(self) -> DataFrame:

@@ -46,8 +46,8 @@ class Metric:
 
 @dataclass(frozen=True)
 class Profile:
-    """Metrics in report order, members per dimension, how members are derived, and whether the
-    baseline has a weekday term."""
+    """Metrics in report order, members per dimension, how members are derived, whether the baseline has a
+    weekday term, rounds in which its trend may break, and the rule for the knee (``contributors.knee_eps``)."""
 
     metrics: tuple[Metric, ...]
     members: dict[str, tuple[str, ...]]
@@ -58,6 +58,9 @@ class Profile:
     session: str = "session_id"
     time: str = "event_timestamp"
     weekday: bool = True
+    break_rounds: int = 0
+    knee: str = "global"
+    sensitivity: float = 1.0
 
     @property
     def modelled(self) -> tuple[Metric, ...]:
