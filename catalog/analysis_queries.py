@@ -12,6 +12,7 @@ from catalog.event_queries import second_events
 from catalog.registry import joined, query
 from catalog.sql import BROWSER, KEYED, SECOND, mean, text
 from tidemark.functions.arrays import clean_name_lists
+from tidemark.functions.timeparts import truncate
 from tidemark.operators import baseline as B
 from tidemark.operators import classify as K
 from tidemark.operators import contributors as C
@@ -20,6 +21,7 @@ from tidemark.operators import history as H
 from tidemark.operators import patterns as P
 from tidemark.operators import report as R
 from tidemark.operators import scenarios as S
+from tidemark.operators.intervals import interval_join
 from tidemark.operators.select import any_flag, between_days
 from tidemark.operators.trend import break_segments
 from tidemark.plans.analysis import Analysis
@@ -416,6 +418,44 @@ def second_tracker_groups(spark, sf_dir):
     return _flat_contributors(second(spark, sf_dir).group_report, S_METRICS)
 
 
+QUARTERS = """
+SELECT tenant, time_bucket(INTERVAL 15 MINUTE, event_timestamp) AS time, count(*) AS n FROM ev_b GROUP BY ALL"""
+
+
+def _quarters(spark, sf_dir) -> DataFrame:
+    """Events per shop and quarter of an hour."""
+    events = T.browser_events(spark, sf_dir).select(F.col(BROWSER.tenant).alias("tenant"), "event_timestamp")
+    return events.groupBy("tenant", truncate(F.col("event_timestamp"), "15m").alias("time")).agg(F.count("*").alias("n"))
+
+
+def _quarter_spans(a: Analysis) -> DataFrame:
+    return a.spans.select("tenant", "group_id", F.col("start_hour").alias("first"), (F.col("end_hour") + F.expr("interval 45 minutes")).alias("last"))
+
+
+@query("group_quarters", """
+SELECT g.tenant, g.group_id, q.time, q.n FROM gspan_b g JOIN quarters_b q ON q.tenant = g.tenant
+  AND q.time BETWEEN g.start_hour AND g.end_hour + INTERVAL 45 MINUTE""", quarters_b=QUARTERS)
+def group_quarters(spark, sf_dir):
+    """Quarters of an hour inside each group's span."""
+    found = interval_join(_quarters(spark, sf_dir), _quarter_spans(browser(spark, sf_dir)), ["tenant"], "time", "first", "last")
+    return found.select("tenant", "group_id", "time", "n")
+
+
+@query("group_quarter_history", """
+SELECT g.tenant, g.group_id, w.back, CAST(sum(q.n) AS BIGINT) AS events, count(*) AS quarters
+FROM gspan_b g CROSS JOIN (VALUES (0), (1), (7)) AS w(back) JOIN quarters_b q ON q.tenant = g.tenant
+  AND q.time BETWEEN g.start_hour - to_days(w.back) AND g.end_hour + INTERVAL 45 MINUTE - to_days(w.back)
+GROUP BY ALL""", quarters_b=QUARTERS)
+def group_quarter_history(spark, sf_dir):
+    """Events of each group's span and of the same span a day and a week before, from quarters of an hour."""
+    back = F.explode(F.array(*[F.lit(d) for d in (0, 1, 7)]))
+    spans = _quarter_spans(browser(spark, sf_dir)).withColumn("back", back)
+    shift = F.make_dt_interval(days=F.col("back"))
+    spans = spans.withColumns({"first": F.col("first") - shift, "last": F.col("last") - shift})
+    found = interval_join(_quarters(spark, sf_dir), spans, ["tenant"], "time", "first", "last")
+    return found.groupBy("tenant", "group_id", "back").agg(F.sum("n").alias("events"), F.count("*").alias("quarters"))
+
+
 GROUP_MEMBERS = f"""
 SELECT g.tenant, g.group_id, r.metric, r.dim, r.member, coalesce({mean("r.percent_diff")}, 0) AS percent_diff
 FROM grouped_b g JOIN mr_b r ON r.tenant = g.tenant AND r.ds = g.ds GROUP BY ALL"""

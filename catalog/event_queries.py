@@ -464,6 +464,59 @@ def pivot_final_order(spark, sf_dir):
     return E.kpi_wide(long, "landing_page_viewers", "utm_source", KPI_CONFIG)
 
 
+def _hour_config() -> dict:
+    """The default configuration with every table by hour of day."""
+    config = default_config(T.GLOBAL_SHOP)
+    for pivot in config["pivot_configs"].values():
+        pivot["index"] = ["time_hour"]
+        pivot.pop("final_column_order", None)
+    return config
+
+
+@query("kpi_hour_of_day", f"""
+SELECT client_id, hour(event_timestamp) AS time_hour, count(*) FILTER (WHERE geo = 'Global') AS "Global",
+  count(*) FILTER (WHERE geo = 'US') AS "US", count(*) AS "Total"
+FROM ev_b WHERE event_name = {text(ORDER)} GROUP BY ALL""")
+def kpi_hour_of_day(spark, sf_dir):
+    """Orders by hour of day and location, of a configuration whose index is the hour alone."""
+    config = _hour_config()
+    long = E.kpi_long(T.browser_events(spark, sf_dir, ORDER), config, by=["client_id"])
+    return E.kpi_wide(long, "orders", "location", config, by=["client_id"])
+
+
+CONDITIONS = (
+    ("str.starts_with('Mozilla') & str.contains('iPhone|iPad')", "starts_with(user_agent, 'Mozilla') AND regexp_matches(user_agent, 'iPhone|iPad')", "Phone"),
+    ("is_null() | pl.col('utm_source').is_in(['google', 'bing'])", "user_agent IS NULL OR utm_source IN ('google', 'bing')", "Searched"),
+    ("str.ends_with('Win64)') & ~(pl.col('price_amount') >= 20)", "ends_with(user_agent, 'Win64)') AND NOT (price_amount >= 20)", "Small basket"),
+)
+
+
+@query("dim_conditions", f"""
+SELECT user_agent, CASE {' '.join(f"WHEN {s} THEN {text(m)}" for _, s, m in CONDITIONS)} END AS device, count(*) AS n
+FROM view_b GROUP BY ALL""")
+def dim_conditions(spark, sf_dir):
+    """A dimension of joined conditions on several columns."""
+    spec = {"source_column": "user_agent", "transformations": [{"type": "when_then", "default": None, "conditions": [
+        {"condition": c, "value": m} for c, _, m in CONDITIONS]}]}
+    device = E.dimension_column(spec, {"mappings": {}})
+    return T.browser_events(spark, sf_dir).groupBy("user_agent", device.alias("device")).agg(F.count("*").alias("n"))
+
+
+@query("kpi_wide_null_member", f"""
+SELECT client_id, date_trunc('hour', event_timestamp) AS time_truncated, hour(event_timestamp) AS time_hour,
+  count(*) FILTER (WHERE shop = {text(T.GLOBAL_SHOP)}) AS "Global", count(*) FILTER (WHERE shop <> {text(T.GLOBAL_SHOP)}) AS "null",
+  count(*) AS "Total" FROM view_b WHERE event_name = {text(ORDER)} GROUP BY ALL""")
+def kpi_wide_null_member(spark, sf_dir):
+    """Orders by location where the configuration leaves every shop but one without a member."""
+    config = default_config(T.GLOBAL_SHOP)
+    for kpi in config["kpis"].values():
+        kpi["dimensions"]["location"] = {"name": "location", "source_column": "shop", "transformations": [{
+            "type": "when_then", "default": None, "conditions": [{"condition": f"eq('{T.GLOBAL_SHOP}')", "value": "Global"}]}]}
+    config["pivot_configs"]["location"] = {}
+    long = E.kpi_long(T.browser_events(spark, sf_dir, ORDER), config, by=["client_id"])
+    return E.kpi_wide(long, "orders", "location", config, by=["client_id"])
+
+
 @query("kpi_config", " UNION ALL ".join(
     f"SELECT {text(n)} AS kpi, count(*) AS n FROM view_b WHERE "
     + (f"event_name = {text(k['calculation']['filter']['value'])}" if k["calculation"]["filter"] else "TRUE")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -39,9 +38,6 @@ UTM_MEDIUM_RULES = (
     ("youtube", "YouTube"),
 )
 
-_CONDITION = re.compile(r"^\s*(eq|str\.contains)\(\s*(['\"])(.*)\2\s*\)\s*$", re.S)
-
-
 def first_match(column: Column, rules, default) -> Column:
     """Member of the first regular expression that matches, else ``default``."""
     return when_then([(column.rlike(pattern), member) for pattern, member in rules], F.lit(default))
@@ -85,15 +81,6 @@ def utm_medium_group(medium: Column) -> Column:
     return first_match(medium, UTM_MEDIUM_RULES, "Other")
 
 
-def condition_column(column: Column, text: str) -> Column:
-    """Condition of a config branch: ``eq('x')`` or ``str.contains('a|b')``."""
-    found = _CONDITION.match(text)
-    if not found:
-        raise ValueError(f"unknown condition {text!r}, expected eq('...') or str.contains('...')")
-    kind, _, value = found.groups()
-    return column == F.lit(value) if kind == "eq" else column.rlike(value)
-
-
 def mapped(column: Column, mapping: dict[str, str], default: str | None = None) -> Column:
     """Mapped value; else ``default`` when given; else the value itself."""
     pairs = {k: v for k, v in mapping.items() if k != "default"}

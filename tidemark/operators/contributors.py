@@ -16,6 +16,8 @@ PANEL = ("tenant", "metric", "dim")
 
 # Fixed value: share of the knee distance that links two members.
 LINK_FACTOR = 0.5
+#: Points of a leaf of a panel's spatial tree, and leaves compared at once.
+LEAF_POINTS, LEAVES_AT_ONCE = 64, 32
 
 
 def anomalous_hours(scored: DataFrame) -> DataFrame:
@@ -39,29 +41,68 @@ def hour_vectors(scored: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
+def _leaves(points: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of the leaves of a spatial tree, halved by position along the widest coordinate,
+    so that ties in it do not matter."""
+    open_, done = [np.arange(len(points))], []
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= LEAF_POINTS:
+            done.append(rows)
+            continue
+        axis = int(np.argmax(np.ptp(points[rows], axis=0)))
+        rows = rows[np.argpartition(points[rows, axis], len(rows) // 2)]
+        open_ += [rows[:len(rows) // 2], rows[len(rows) // 2:]]
+    return done
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` and ``b``, one coordinate at a time."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        delta = a[:, i, None] - b[None, :, i]
+        out += delta * delta
+    return out
+
+
 def _nearest(points: np.ndarray) -> np.ndarray:
     """Distance of each point to its nearest other point.
 
-    Points are swept in the order of their widest coordinate; a point stops looking in a
-    direction once that coordinate alone is farther away than the best found.
+    Equal points are taken together.  A leaf of the tree looks through the other leaves from the
+    nearest box on, until the boxes are farther away than the best found of all its points.
     """
-    count = len(points)
-    axis = int(np.argmax(np.ptp(points, axis=0)))
-    order = np.argsort(points[:, axis], kind="stable")
-    swept = points[order]
-    best = np.full(count, np.inf)
-    for direction in (1, -1):
-        looking = np.arange(count)
-        step = direction
-        while len(looking):
-            looking = looking[(looking + step >= 0) & (looking + step < count)]
-            delta = swept[looking + step] - swept[looking]
-            best[looking] = np.minimum(best[looking], np.sqrt((delta * delta).sum(axis=1)))
-            looking = looking[np.abs(delta[:, axis]) < best[looking]]
-            step += direction
-    out = np.empty(count)
-    out[order] = best
-    return out
+    points, where, count = np.unique(points, axis=0, return_inverse=True, return_counts=True)
+    best = np.full(len(points), np.inf)
+    leaves = _leaves(points)
+    low = np.array([points[rows].min(axis=0) for rows in leaves])
+    high = np.array([points[rows].max(axis=0) for rows in leaves])
+    for number, rows in enumerate(leaves):
+        own = points[rows]
+        near = _squares(own, own)
+        np.fill_diagonal(near, np.inf)
+        found = near.min(axis=1)
+        gap = np.maximum(np.maximum(low - high[number], low[number] - high), 0)
+        gap = (gap * gap).sum(axis=1)
+        gap[number] = np.inf
+        order = np.flatnonzero(gap < found.max())
+        order = order[np.argsort(gap[order], kind="stable")]
+        for at in range(0, len(order), LEAVES_AT_ONCE):
+            some = order[at:at + LEAVES_AT_ONCE]
+            if gap[some[0]] >= found.max():
+                break
+            # Of the leaf's points, those that a box is nearer to than their best so far.
+            apart = np.zeros((len(own), len(some)))
+            for i in range(points.shape[1]):
+                side = np.maximum(np.maximum(low[some, i] - own[:, i, None], own[:, i, None] - high[some, i]), 0)
+                apart += side * side
+            looking = np.flatnonzero((apart < found[:, None]).any(axis=1))
+            if len(looking):
+                boxes = some[(apart[looking] < found[looking, None]).any(axis=0)]
+                others = points[np.concatenate([leaves[j] for j in boxes])]
+                found[looking] = np.minimum(found[looking], _squares(own[looking], others).min(axis=1))
+        best[rows] = np.sqrt(found)
+    best[count > 1] = 0.0
+    return best[where.ravel()]
 
 
 def _panel_distances(panel: pd.DataFrame) -> pd.DataFrame:

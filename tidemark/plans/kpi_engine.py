@@ -12,16 +12,19 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.dimensions import condition_column, mapped, when_then
+from tidemark.functions.conditions import condition
+from tidemark.functions.dimensions import mapped, when_then
 from tidemark.functions.timeparts import truncate
 from tidemark.operators.dedup import earliest_per_key
 from tidemark.operators.select import predicate
-from tidemark.sources.config import load_config, validate
+from tidemark.sources.config import PIVOT_INDEX, load_config, validate
 from tidemark.sources.events import without_zone
 from tidemark.sources.sinks import write_kpi_tables
 from tidemark.sources.work import WorkTables
 
 KEEP_OWN_VALUE = "device"
+#: Columns that a pivot may make of the data; more members stay in the long form.
+MOST_MEMBERS = 10_000
 
 
 def dimension_column(spec: dict, config: dict) -> Column:
@@ -32,7 +35,7 @@ def dimension_column(spec: dict, config: dict) -> Column:
         if step.get("type") != "when_then":
             raise ValueError(f"unknown transformation {step.get('type')!r}")
         default = step.get("default")
-        branches = [(condition_column(value, c["condition"]), c["value"]) for c in step["conditions"]]
+        branches = [(condition(value, c["condition"]), c["value"]) for c in step["conditions"]]
         value = when_then(branches, value if default == KEEP_OWN_VALUE else F.lit(default))
     name = spec.get("mapping")
     if name:
@@ -207,16 +210,22 @@ def kpi_long(events: DataFrame, config: dict, by=()) -> DataFrame:
 def kpi_wide(long: DataFrame, kpi: str, dim: str, config: dict, by=(), fill: int | None = 0) -> DataFrame:
     """One configured table: pivoted members, ``Total``, renamed and ordered columns.
 
-    Members come from the config; for a dimension that copies its source, from the data.  Rows of
+    A row for each bucket of the pivot's ``index``: ``time_truncated``, ``time_hour`` (the hour of day of all
+    days) or both.  Members come from the config; for a dimension that copies its source, from the data,
+    and more than ``MOST_MEMBERS`` of them raise.  Rows of
     no member have a column ``null`` where the config can leave them without one, and ``Total``
     counts every row, also those of members that are not listed.
     """
     spec, pivot = config["kpis"][kpi]["dimensions"][dim], config["pivot_configs"][dim]
-    index = [F.col("time").alias("time_truncated"), F.hour("time").alias("time_hour")]
+    times = {"time_truncated": F.col("time"), "time_hour": F.hour("time")}
+    index = [times[name].alias(name) for name in pivot.get("index", PIVOT_INDEX)]
     rows = long.where((F.col("kpi") == kpi) & (F.col("dim") == dim))
     members = pivot.get("members") or dimension_members(spec, config)
     if members is None:
-        members = sorted((r.member for r in rows.select("member").distinct().collect()), key=lambda m: (m is not None, m))
+        found = rows.select("member").distinct().limit(MOST_MEMBERS + 1).collect()
+        if len(found) > MOST_MEMBERS:
+            raise ValueError(f"{kpi}.{dim} has more than {MOST_MEMBERS} members: list those to pivot, or use the long form")
+        members = sorted((r.member for r in found), key=lambda m: (m is not None, m))
     elif can_be_null(spec, config) and None not in members:
         members = [*members, None]
     names = ["null" if m is None else m for m in members]
@@ -254,7 +263,7 @@ def kpi_tables(events: DataFrame, config: dict, by=(), fill: int | None = 0,
 
 def run(spark: SparkSession, path: str, by=()) -> dict[tuple[str, str], str]:
     """Read a configuration, its events, and write one CSV folder per configured table."""
-    config = load_config(path)
+    config = load_config(path, spark)
     events = without_zone(spark.read.parquet(config["data"]["input_file"]))
     with WorkTables(spark) as work:
         return write_kpi_tables(kpi_tables(events, config, by, work=work), config["data"]["output_directory"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import SparkSession
+
 from tidemark.functions.timeparts import known_unit
 from tidemark.operators.select import COMPARISONS
 
@@ -13,7 +15,13 @@ METHODS = ("count", "unique_count")
 FIRST_AGGREGATIONS = ("min", "first")
 
 
-def load_config(path: str) -> dict:
+def load_config(path: str, spark: SparkSession | None = None) -> dict:
+    """Read and check a configuration, from any storage that Spark reads; without ``spark``, from a local file."""
+    if spark is not None:
+        found = spark.read.text(path, wholetext=True).limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{path} has {'no' if not found else 'more than one'} configuration")
+        return parse_config(found[0][0])
     with open(path, encoding="utf-8") as source:
         return parse_config(source.read())
 
@@ -22,15 +30,18 @@ def parse_config(text: str) -> dict:
     return validate(json.loads(text))
 
 
-#: The settings of a pivot that are honoured; others are refused rather than ignored.
-PIVOT_SETTINGS = {"index": ["time_truncated", "time_hour"], "values": "count", "aggregate_function": "sum"}
+#: Columns that a pivot's index may have; without one it has both.
+PIVOT_INDEX = ("time_truncated", "time_hour")
+# Aggregations of a pivot's cell.  A cell has one count, so they all give that count.
+PIVOT_AGGREGATIONS = ("sum", "first", "last", "min", "max", "mean", "median")
 
 
 def validate(config: dict) -> dict:
     """Return the config; raise ``ValueError`` naming the missing or unknown value.
 
     Display fields (``type``, ``accent``, ``description``, ``display_name``, ``columns``,
-    ``total_columns``, ``unique_subset_column``, ``event_name_filter``) are accepted and ignored.
+    ``total_columns``, ``unique_subset_column``, ``event_name_filter``) are accepted and ignored, and so is the
+    name in a pivot's ``values``.
     """
     for key in REQUIRED:
         if key not in config:
@@ -41,9 +52,12 @@ def validate(config: dict) -> dict:
     for name, kpi in config["kpis"].items():
         _check_kpi(name, kpi, config)
     for dim, pivot in config["pivot_configs"].items():
-        for key, only in PIVOT_SETTINGS.items():
-            if pivot.get(key, only) != only:
-                raise ValueError(f"pivot_configs.{dim}: {key} {pivot[key]!r} is not supported, only {only!r}")
+        index = pivot.get("index", list(PIVOT_INDEX))
+        if not index or isinstance(index, str) or len(set(index)) != len(index) or set(index) - set(PIVOT_INDEX):
+            raise ValueError(f"pivot_configs.{dim}: index {index!r} is not supported, only {PIVOT_INDEX} or one of them")
+        kind = pivot.get("aggregate_function", "sum")
+        if kind not in PIVOT_AGGREGATIONS:
+            raise ValueError(f"pivot_configs.{dim}: unknown aggregate_function {kind!r}, expected one of {PIVOT_AGGREGATIONS}")
     return config
 
 
@@ -68,8 +82,9 @@ def _check_kpi(name: str, kpi: dict, config: dict) -> None:
         for step in spec.get("transformations", []):
             if step.get("type") != "when_then":
                 raise ValueError(f"{name}.{dim}: unknown transformation {step.get('type')!r}")
-            if "conditions" not in step:
-                raise ValueError(f"{name}.{dim}: when_then without conditions")
+            for key in ("conditions", "default"):
+                if key not in step:
+                    raise ValueError(f"{name}.{dim}: when_then without {key}")
         mapping = spec.get("mapping")
         if mapping and mapping not in config["mappings"]:
             raise ValueError(f"{name}.{dim}: unknown mapping {mapping!r}")

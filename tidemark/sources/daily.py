@@ -34,11 +34,12 @@ class DailyActivity:
         if not _LOAD_NAME.fullmatch(load):
             raise ValueError(f"load name {load!r}: letters, digits, '_', '.' and '-' only")
         rows = activity(events, self.profile).withColumns({"day": F.col("ds").cast("date"), "load": F.lit(load)})
-        before = self._days(load)
+        before = self._days(load)  # none the first time
         # A partition by day, as rows of one day meet in few files; a busy day still has several.
         rows.repartition("day", F.pmod(F.xxhash64("visitor"), F.lit(8))).write.partitionBy("day", "load").mode(
             "overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.folder)
-        self._remove(load, before - self._written(rows))
+        if before:
+            self._remove(load, before - self._written(events))
 
     def read(self, first: str | None = None, last: str | None = None) -> DataFrame:
         """Activity of the days ``first`` to ``last``; other days' files are not opened."""
@@ -62,9 +63,10 @@ class DailyActivity:
             S.StructField("day", S.DateType()), S.StructField("load", text)])
         return self.spark.read.schema(schema).parquet(self.folder)
 
-    def _written(self, rows: DataFrame) -> set[str]:
-        """Days of a load just written, from its rows' days (at most one name a day)."""
-        return {str(r["day"]) for r in rows.select("day").distinct().collect()}
+    def _written(self, events: DataFrame) -> set[str]:
+        """Days of a load, from the times of its events alone (at most one name a day)."""
+        day = F.col(self.profile.time).cast("date").alias("day")
+        return {str(r["day"]) for r in events.select(day).where("day IS NOT NULL").distinct().collect()}
 
     def _system(self):
         context = self.spark.sparkContext
