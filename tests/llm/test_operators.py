@@ -98,6 +98,18 @@ def test_near_duplicates_odd(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    """Id 1 holds two unrelated texts, one of them near 5; id 5 a further one; equal rows come twice."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "en", "s"), (5, a + " end", "en", "s"), (5, c, "en", "s"), (7, c, "en", "s"), (8, None, "en", "s"),
+            (8, "", "en", "s"), (None, a, "en", "s"), (None, a, "en", "s")]
+    left = near_dup.drop_near_duplicates(rows(spark, data), 5, 80)
+    got = sorted(((r.doc_id or 0), r.text or "") for r in left.collect())
+    texts = [t for _, t in got]
+    assert [texts.count(t) for t in (a, b, c)] == [3, 1, 1] or [texts.count(t) for t in (a, a + " end", b, c)] == [2, 1, 1, 1]
+    assert [i for i, _ in got if i in (0, 8)] == [0, 0, 8, 8]
+
+
 def test_joint_estimate():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(1, 2**63, n).astype(np.uint64) for n in (800, 100, 100))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
 from tidemark.llm.graph import components
-from tidemark.llm.shared import Work
+from tidemark.llm.shared import Work, packed
 
 REGISTERS, ROWS = 128, 5
 BANDS = REGISTERS // ROWS
@@ -278,10 +278,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with all their columns, of each component only the rows of its least id.
+    """The rows of ``docs`` with all their columns, of each component only one text of its least id.
 
-    Of repeated rows of that id one stays.  Rows of a null id all stay.
+    Of rows that share id and text one stays.  Rows that share an id but not the text are documents of
+    their own: the one of the least text hash counts by the id, the others come after all ids, in an order of
+    hashes, so a text goes only where a near duplicate of it stays.  Rows of a null id all stay.  An empty
+    table gives no rows.
     """
-    found = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.join(found, docs["doc_id"].cast("long") == found["id"], "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    work = Work(docs.sparkSession)
+    numbered = packed(docs.filter("doc_id is not null")).select(
+        "row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
+    texts = numbered.groupBy("id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most")
+    texts = work.keep(texts.select("id", "least"), "repeated")
+    if texts.isEmpty():
+        keyed = numbered.withColumn("key", F.col("id"))
+    else:
+        later = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("id", "hash"), 2)
+        keyed = numbered.join(texts, "id", "left").withColumn(
+            "key", F.when(F.col("least").isNull() | (F.col("hash") == F.col("least")), F.col("id")).otherwise(later))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), k, percent)
+    found = found.filter("kept").select(F.col("doc_id").alias("key")).distinct()
+    rows = keyed.join(found, "key", "left_semi").dropDuplicates(["key"])
+    return rows.select("row.*").unionByName(docs.filter("doc_id is null"))

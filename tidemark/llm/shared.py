@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,34 @@ class Work:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, work_folder(spark)
+        _open.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Remove the tables; DataFrames that read them end here."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_open: list[Work] = []
+
+
+@contextlib.contextmanager
+def closing() -> Iterator[None]:
+    """Work tables that operators write inside are removed at the end; read no result of theirs after it."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for work in _open[before:]:
+            work.close()
+        del _open[before:]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
