@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, mixing, near_dup, packing, repeats
-from tidemark.llm.shared import Work, read
+from tidemark.llm.shared import Work, closing, read
 
 #: Bytes of a string that counts as a repeated passage: less than 50 short words.
 PASSAGE_BYTES = 200
@@ -65,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with closing():  # of a stage only its result stays
+            docs = work.keep(stage(spark, docs, sf_dir), name)
     return work.keep(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
