@@ -218,14 +218,15 @@ def parse_floor_time(spark, sf_dir):
 @query("visitors_unique", "SELECT tenant, visitor, event_timestamp, geo, device FROM ("
        + earliest("ev_b", "tenant, visitor", "geo, device") + ")")
 def visitors_unique(spark, sf_dir):
-    return U.earliest_per_key(browser(spark, sf_dir), ["tenant", "visitor"], "event_timestamp", ["geo", "device"])
+    return U.earliest_per_key(
+        browser(spark, sf_dir), ["tenant", "visitor"], "event_timestamp", ["geo", "device"], BROWSER.values)
 
 
 @query("buyers_unique", "SELECT tenant, visitor, event_timestamp, geo, device FROM ("
        + earliest("ev_b", "tenant, visitor", "geo, device", "event_name = 'checkout_completed'") + ")")
 def buyers_unique(spark, sf_dir):
     return U.earliest_per_key(orders(spark, sf_dir),
-                              ["tenant", "visitor"], "event_timestamp", ["geo", "device"])
+                              ["tenant", "visitor"], "event_timestamp", ["geo", "device"], BROWSER.values)
 
 
 @query("session_rollup", f"""
@@ -355,7 +356,7 @@ FROM ({_wide('geo', f"({earliest('ev_s', 'tenant, session', 'geo')})", SECOND.me
              SECOND.members['geo'])})""")
 def geo7_hourly_padded(spark, sf_dir):
     members = SECOND.members["geo"]
-    first = U.earliest_per_key(second(spark, sf_dir), ["tenant", "session"], "event_timestamp", ["geo"])
+    first = U.earliest_per_key(second(spark, sf_dir), ["tenant", "session"], "event_timestamp", ["geo"], SECOND.values)
     counts = Q.hourly_counts(first, "geo", by=["tenant"])
     return Q.pivot_members(counts, members, ["tenant"], total=members)
 

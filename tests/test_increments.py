@@ -266,3 +266,26 @@ def test_members_of_a_pivot_are_bounded(spark, monkeypatch):
     with pytest.raises(ValueError, match="more than 3 members"):
         kpi_wide(long, "orders", "device", config)
     assert kpi_wide(long.where("member < 3"), "orders", "device", config).columns == ["time_truncated", "time_hour", "0", "1", "2", "Total"]
+
+
+def test_packed_first_rows_agree_with_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda names: names[rng.integers(len(names))]
+    rows = [(pick(["k", "l", None]), T0 + dt.timedelta(microseconds=int(m)), pick(["US", "Global", None]), pick(["iOS", "Ä", "a", None]))
+            for m in rng.integers(0, 4, 300)]
+    rows += [("old", dt.datetime(1700, 1, 1, 0, 0, 0, 1), "US", "a"), ("old", dt.datetime(2250, 1, 1), None, None), ("none", None, "US", "a")]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, g string, d string")
+    lists = {"g": ("US", "Global"), "d": ("iOS", "a", "Ä")}
+    plain, packed = U.earliest_per_key(df, ["k"], "t", ["g", "d"]), U.earliest_per_key(df, ["k"], "t", ["g", "d"], lists)
+    assert same(packed, plain) and packed.dtypes == plain.dtypes
+    with pytest.raises(Exception, match="d has a value that is not listed: a"):
+        U.earliest_per_key(df, ["k"], "t", ["g", "d"], lists | {"d": ("iOS", "Ä")}).collect()
+
+
+def test_first_rows_of_raw_events_are_not_sorted(spark):
+    from catalog.event_queries import visitors_unique
+
+    plan = visitors_unique(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort " not in plan
+    cube = Q.activity(T.browser_events(spark, SF_DIR), BROWSER)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in cube and "SortAggregate" not in cube

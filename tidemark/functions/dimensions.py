@@ -21,6 +21,7 @@ COUNTRY_MEMBERS = {
     "Germany": "Germany",
     "Australia": "Australia",
 }
+NO_COUNTRY = "Unknown Location"
 UTM_SOURCE_RULES = (
     ("google|bing", "Search"),
     ("facebook|fbig", "Facebook"),
@@ -62,7 +63,7 @@ def geo_two_way(shop: Column, global_shop: str) -> Column:
 def geo_by_country(country: Column) -> Column:
     """Five named countries, ``Other`` for the rest, ``Unknown Location`` for none."""
     named = [(country == F.lit(name), member) for name, member in COUNTRY_MEMBERS.items()]
-    return when_then(named + [(country.isNotNull(), "Other")], F.lit("Unknown Location"))
+    return when_then(named + [(country.isNotNull(), "Other")], F.lit(NO_COUNTRY))
 
 
 def device_from_agent(user_agent: Column) -> Column:

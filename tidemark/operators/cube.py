@@ -75,7 +75,7 @@ def unique_cells(act: DataFrame, profile: Profile) -> DataFrame:
     entry = F.inline(_per_event(
         unique, lambda m: F.struct(F.lit(m.name).alias("metric"), F.col(m.unique_by).alias("key"))))
     rows = act.select("tenant", entry, "first_time", "geo", "device")
-    first = earliest_per_key(rows, ["tenant", "metric", "key"], "first_time", ["geo", "device"])
+    first = earliest_per_key(rows, ["tenant", "metric", "key"], "first_time", ["geo", "device"], profile.values)
     sides = F.lit(None)
     for m in unique:
         sides = F.when(F.col("metric") == m.name, F.array(*_sides(m))).otherwise(sides)

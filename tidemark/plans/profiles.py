@@ -47,7 +47,8 @@ class Metric:
 @dataclass(frozen=True)
 class Profile:
     """Metrics in report order, members per dimension, how members are derived, whether the baseline has a
-    weekday term, rounds in which its trend may break, and the rule for the knee (``contributors.knee_eps``)."""
+    weekday term, rounds in which its trend may break, and the rule for the knee (``contributors.knee_eps``).
+    ``values`` lists all that a derived dimension can be, where its rule makes that a closed set."""
 
     metrics: tuple[Metric, ...]
     members: dict[str, tuple[str, ...]]
@@ -61,6 +62,7 @@ class Profile:
     break_rounds: int = 0
     knee: str = "global"
     sensitivity: float = 1.0
+    values: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def modelled(self) -> tuple[Metric, ...]:
@@ -189,13 +191,13 @@ SECOND_REGISTRY = {
 
 def browser_profile(global_shop: str) -> Profile:
     return Profile(
-        BROWSER_METRICS, BROWSER_MEMBERS,
+        BROWSER_METRICS, BROWSER_MEMBERS, values={d: BROWSER_MEMBERS[d] for d in ("geo", "device")},
         geo=lambda: D.geo_two_way(F.col("shop"), global_shop),
         device=lambda: D.device_from_agent(F.col("user_agent")))
 
 
 def second_tracker_profile() -> Profile:
     return Profile(
-        SECOND_METRICS, SECOND_MEMBERS,
+        SECOND_METRICS, SECOND_MEMBERS, values={"geo": (*SECOND_MEMBERS["geo"], D.NO_COUNTRY)},
         geo=lambda: D.geo_by_country(F.col("country_name")),
         device=lambda: D.device_from_column(F.col("os")))
