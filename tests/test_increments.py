@@ -189,6 +189,26 @@ def test_nearest_distances_with_ties_in_the_widest_coordinate():
     assert np.allclose(some, far.min(1))
 
 
+@pytest.mark.parametrize("sample", [1, 50])
+def test_large_panels_are_divided(spark, monkeypatch, sample):
+    """The same distances whether a panel is searched whole or in cells, with ties and copies."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for tenant, n, d in (("t", 400, 3), ("u", 30, 2), ("v", 300, 1), ("w", 120, 2)):
+        x = np.round(rng.standard_normal((n, d)), 2)
+        x[: n // 2, 0] = 7.0
+        if tenant == "w":
+            x[:] = 1.0
+        rows += [(tenant, "m", "d", T0 + i * HOUR, [{"ord": j, "member": str(j), "value": float(c)} for j, c in enumerate(p)]) for i, p in enumerate(x)]
+    frame = spark.createDataFrame(rows, "tenant string, metric string, dim string, ds timestamp_ntz, values array<struct<ord:int,member:string,value:double>>")
+    whole = C.nn_distance(frame).persist()
+    assert whole.count() == len(rows)
+    monkeypatch.setattr(C, "PANEL_ROWS", 100)
+    monkeypatch.setattr(C, "CELL_ROWS", 40)
+    monkeypatch.setattr(C, "SAMPLE_ROWS", sample)
+    assert same(C.nn_distance(frame), whole)
+
+
 def test_metrics_without_a_consistent_contributor_have_an_empty_list(spark):
     spans = spark.createDataFrame([("t", 1, 1, T0, T0 + 4 * HOUR), ("t", 2, 1, T0 + 9 * HOUR, T0 + 12 * HOUR)],
                                   "tenant string, group_id int, sign int, start_hour timestamp_ntz, end_hour timestamp_ntz")

@@ -16,6 +16,8 @@ PANEL = ("tenant", "metric", "dim")
 
 # Fixed value: share of the knee distance that links two members.
 LINK_FACTOR = 0.5
+#: Points of a panel that one task searches, of a cell of a larger one, and of the sample that shapes its cells.
+PANEL_ROWS, CELL_ROWS, SAMPLE_ROWS = 50_000, 20_000, 4_096
 #: Points of a leaf of a panel's spatial tree, and leaves compared at once.
 LEAF_POINTS, LEAVES_AT_ONCE = 64, 32
 
@@ -110,15 +112,101 @@ def _panel_distances(panel: pd.DataFrame) -> pd.DataFrame:
     return panel[[*PANEL, "ds"]].assign(distance=np.where(np.isfinite(distances), distances, np.nan))
 
 
+def _boxes(sample: np.ndarray, cells: int) -> list[tuple[list[float], list[float]]]:
+    """Bounds ``low <= x < high`` of about ``cells`` boxes that cover all space, halving a sample's widest coordinates."""
+    width = sample.shape[1]
+    open_ = [(np.unique(sample, axis=0), np.full(width, -np.inf), np.full(width, np.inf), cells)]
+    done = []
+    while open_:
+        points, low, high, parts = open_.pop()
+        spread = np.ptp(points, axis=0) if len(points) else np.zeros(width)
+        if parts < 2 or not (spread > 0).any():
+            done.append((low.tolist(), high.tolist()))
+            continue
+        axis = int(np.argmax(spread))
+        values = np.sort(points[:, axis])
+        # A cut above the least value, so that both sides have points.
+        cut = max(values[len(values) // 2], values[np.searchsorted(values, values[0], "right")])
+        left, right = high.copy(), low.copy()
+        left[axis] = right[axis] = cut
+        below = points[:, axis] < cut
+        open_ += [(points[below], low, left, parts // 2), (points[~below], right, high, parts - parts // 2)]
+    return done
+
+
+def _panel_cells(panel: pd.DataFrame) -> pd.DataFrame:
+    boxes = _boxes(np.array(panel["point"].tolist(), dtype="float64"), int(-(-panel["rows"].iloc[0] // CELL_ROWS)))
+    cells = [{"cell": i, "low": low, "high": high} for i, (low, high) in enumerate(boxes)]
+    return panel[list(PANEL)].iloc[:1].assign(cells=[cells])
+
+
+def _cell_distances(cell: pd.DataFrame) -> pd.DataFrame:
+    return cell[[*PANEL, "cell", "point"]].assign(best=_nearest(np.array(cell["point"].tolist(), dtype="float64")))
+
+
+def _visitor_distances(visitors: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+    """Distance of each visitor to the nearest point of the cell."""
+    own, others = (np.array(f["point"].tolist(), dtype="float64") for f in (visitors, cell))
+    best = [np.sqrt(_squares(own[i:i + 256], others).min(axis=1)) for i in range(0, len(own), 256)] if len(others) else []
+    return visitors[[*PANEL, "point"]].assign(best=np.concatenate(best) if best else np.inf)
+
+
+def _divided(points: DataFrame) -> DataFrame:
+    """Nearest distances of large panels, cell by cell.
+
+    The distinct points of a panel are dealt to boxes of about ``CELL_ROWS`` (from a sample of at most about
+    ``SAMPLE_ROWS``, which only shapes the boxes).  Each cell finds the nearest within it; a point then
+    visits the other cells whose boxes are nearer than that, so copies go only to where they can matter.
+    """
+    panel = list(PANEL)
+    distinct = points.groupBy(*panel, "point", "rows").agg(F.count("*").alias("copies"))
+    share = F.ceil(F.col("rows") / SAMPLE_ROWS)
+    cells = distinct.where(F.pmod(F.xxhash64("point"), share) == 0).groupBy(*panel).applyInPandas(
+        _panel_cells, "tenant string, metric string, dim string, cells array<struct<cell:int,low:array<double>,high:array<double>>>")
+
+    def inside(c):
+        return F.forall(F.arrays_zip("point", c["low"].alias("low"), c["high"].alias("high")),
+                        lambda z: (z["point"] >= z["low"]) & (z["point"] < z["high"]))
+
+    def apart(c):
+        sides = F.transform(F.arrays_zip("point", c["low"].alias("low"), c["high"].alias("high")), lambda z: F.greatest(
+            z["low"] - z["point"], z["point"] - z["high"], F.lit(0.0)))
+        return F.sqrt(F.aggregate(sides, F.lit(0.0), lambda s, x: s + x * x))
+
+    # A panel whose sample is empty is one cell.
+    whole = F.array().cast("array<struct<cell:int,low:array<double>,high:array<double>>>")
+    placed = distinct.join(cells, panel, "left").withColumn("cells", F.coalesce("cells", whole))
+    placed = placed.withColumn("cell", F.coalesce(F.get(F.filter("cells", inside), F.lit(0))["cell"], F.lit(0)))
+    kind = "tenant string, metric string, dim string, cell int, point array<double>, best double"
+    first = placed.select(*panel, "cell", "point").groupBy(*panel, "cell").applyInPandas(_cell_distances, kind)
+    away = first.join(cells, panel).select(*panel, "point", F.explode(F.filter(
+        "cells", lambda c: (c["cell"] != F.col("cell")) & (apart(c) < F.col("best")))).alias("to"))
+    visits = away.select(*panel, "point", F.col("to.cell").alias("to")).groupBy(*panel, "to")
+    residents = placed.select(*panel, F.col("cell").alias("home"), "point").groupBy(*panel, "home")
+    second = visits.cogroup(residents).applyInPandas(
+        _visitor_distances, "tenant string, metric string, dim string, point array<double>, best double")
+    nearest = first.drop("cell").unionByName(second).groupBy(*panel, "point").agg(F.min("best").alias("best"))
+    alone = distinct.select(*panel, "point", "copies").join(nearest, [*panel, "point"])
+    distance = F.when(F.col("copies") > 1, 0.0).when(F.col("best") < float("inf"), F.col("best")).otherwise(float("nan"))
+    return points.drop("rows").join(alone.select(*panel, "point", distance.alias("distance")), [*panel, "point"]).select(
+        *panel, "ds", "distance")
+
+
 def nn_distance(vectors: DataFrame) -> DataFrame:
     """Distance of each anomalous hour's vector to the nearest other one of its panel.
 
     A panel (shop, metric, dimension) has at most one point per hour of the analysed time,
-    independent of the number of events, and is searched without listing pairs.
+    independent of the number of events, and is searched without listing pairs.  A panel of more
+    than ``PANEL_ROWS`` points is divided among tasks (``_divided``), with the same outcome.
     """
     points = vectors.select(*PANEL, "ds", F.transform("values", lambda v: v["value"]).alias("point"))
     schema = "tenant string, metric string, dim string, ds timestamp_ntz, distance double"
-    found = points.groupBy(*PANEL).applyInPandas(_panel_distances, schema)
+    large = points.groupBy(*PANEL).agg(F.count("*").alias("rows")).where(F.col("rows") > PANEL_ROWS)
+    if large.isEmpty():
+        found = points.groupBy(*PANEL).applyInPandas(_panel_distances, schema)
+    else:
+        small = points.join(large, list(PANEL), "left_anti").groupBy(*PANEL).applyInPandas(_panel_distances, schema)
+        found = small.unionByName(_divided(points.join(large, list(PANEL))))
     return found.withColumn("distance", rounded(F.when(~F.isnan("distance"), F.col("distance"))))
 
 

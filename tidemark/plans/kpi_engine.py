@@ -80,12 +80,16 @@ class _Shared:
     def __init__(self, kpis: dict, config: dict):
         self.columns: dict[str, Column] = {}
         self.filters: dict[str, Column] = {}
+        self.values: dict[str, list[str]] = {}
         self._dims: dict[str, str] = {}
         self._flags: dict[str, str] = {}
         for kpi in kpis.values():
             for spec in _used_dimensions(kpi, config).values():
                 name = self._dims.setdefault(self._id(spec), f"dim_{len(self._dims)}")
                 self.columns[name] = dimension_column(spec, config)
+                members = dimension_members(spec, config)
+                if members is not None and all(isinstance(m, str) for m in members):
+                    self.values[name] = members
             if kpi_filter(kpi) is not None:
                 name = self._flags.setdefault(
                     self._id(kpi["calculation"]["filter"]), f"is_{len(self._flags)}")
@@ -143,7 +147,7 @@ def _unique(events: DataFrame, kpis: dict, config: dict, by, time: str, unit: st
     ]
     dims = list(shared.columns)
     members = _exploded(rows, options, [*by, "time", *dims])
-    first = earliest_per_key(members, [*by, "kpi", "key"], "time", dims)
+    first = earliest_per_key(members, [*by, "kpi", "key"], "time", dims, shared.values)
     cells = [
         (F.col("kpi") == name, F.struct(F.lit(dim).alias("dim"), shared.member(spec).alias("member")))
         for name, kpi in kpis.items() for dim, spec in _used_dimensions(kpi, config).items()
