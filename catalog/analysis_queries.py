@@ -24,7 +24,12 @@ from tidemark.operators import scenarios as S
 from tidemark.operators.intervals import interval_join
 from tidemark.operators.select import any_flag, between_days
 from tidemark.operators.trend import break_segments
+from tidemark.operators.forecast import per_series
 from tidemark.plans.analysis import Analysis
+from tidemark.sources.sinks import write_report_csv
+from tidemark.streaming.hourly import anomaly_groups as stream_groups
+from tidemark.streaming.hourly import event_stream
+from tidemark.streaming.keys import drain
 
 FORECAST = "tenant, metric, dim, member, ds, y, yhat, yhat_lower, yhat_upper"
 SCORED = FORECAST + ", is_anomaly, diff, percent_diff"
@@ -73,6 +78,21 @@ def anomaly_score(spark, sf_dir):
     return B.score(B.seasonal_baseline(browser(spark, sf_dir).series))
 
 
+def _mean_of_hour(frame):
+    """A forecaster of one series: the mean of each hour of day, give or take 10."""
+    mean = frame.groupby(frame["ds"].dt.hour)["y"].transform("mean").round(6)
+    return frame.assign(yhat=mean, yhat_lower=mean - 10, yhat_upper=mean + 10)
+
+
+@query("own_forecaster", """
+SELECT tenant, metric, dim, member, ds, y, yhat, CASE WHEN abs(y - yhat) <= 10 THEN 0 ELSE 1 END AS is_anomaly
+FROM (SELECT *, round(avg(y) OVER (PARTITION BY tenant, metric, dim, member, hour(ds)), 6) AS yhat FROM series_b)""")
+def own_forecaster(spark, sf_dir):
+    """Series scored by a forecaster of one's own."""
+    a = Analysis(T.browser_events(spark, sf_dir), BROWSER, T.work(spark), forecaster=per_series(_mean_of_hour))
+    return a.scored.select("tenant", "metric", "dim", "member", "ds", "y", "yhat", "is_anomaly")
+
+
 @query("second_tracker_score", f"SELECT {SCORED} FROM scored_s")
 def second_tracker_score(spark, sf_dir):
     return B.score(B.seasonal_baseline(second(spark, sf_dir).series))
@@ -372,6 +392,19 @@ def group_duration(spark, sf_dir):
     return G.group_duration(browser(spark, sf_dir).spans)
 
 
+@query("anomaly_groups_stream", "SELECT tenant, sign, start_hour, end_hour, hours FROM gspan_b")
+def anomaly_groups_stream(spark, sf_dir):
+    """The groups of signed hours that arrive by time, as session windows; one far row closes the last ones."""
+    a = browser(spark, sf_dir)
+    signed = a.signed.select("tenant", "ds", "sign")
+    closing = spark.createDataFrame([(None, "2999-01-01 00:00:00", 0)], "tenant string, ds string, sign int")
+    work = T.work(spark)
+    signed.withColumn("sign", F.col("sign").cast("int")).write.parquet(work.path("signed"))
+    closing.withColumn("ds", F.col("ds").cast("timestamp_ntz")).write.mode("append").parquet(work.path("signed"))
+    arriving = event_stream(spark, spark.read.parquet(work.path("signed")).schema, work.path("signed"))
+    return drain(stream_groups(arriving), work.path("stream"))
+
+
 @query("group_labels", """
 SELECT *, strftime(start_hour, '%b %d %Y %H:%M') || ' - ' || strftime(end_hour, '%b %d %Y %H:%M') AS period
 FROM sspan_b""")
@@ -413,6 +446,19 @@ def group_report(spark, sf_dir):
     return _flat_contributors(browser(spark, sf_dir).group_report, B_METRICS)
 
 
+@query("group_report_csv", f"""SELECT tenant, group_id, sign, start_hour, end_hour, root_cause, visitors_percent_diff,
+  replace(visitors_contributors, ',', '|') AS visitors_contributors FROM ({_group_report("b", B_METRICS)})""")
+def group_report_csv(spark, sf_dir):
+    """The group report written as CSV and read back."""
+    report = browser(spark, sf_dir).group_report.select(
+        "tenant", "group_id", "sign", "start_hour", "end_hour", "root_cause", "visitors_percent_diff", "visitors_contributors")
+    path = T.work(spark).path("group_report")
+    write_report_csv(report, path)
+    kinds = ", ".join(f"{n} {'string' if k.startswith('array') else k}" for n, k in report.dtypes)
+    back = spark.read.schema(kinds).option("header", True).csv(path)
+    return back.withColumn("visitors_contributors", F.when(F.col("visitors_contributors") != "", F.col("visitors_contributors")))
+
+
 @query("second_tracker_groups", _group_report("s", S_METRICS))
 def second_tracker_groups(spark, sf_dir):
     return _flat_contributors(second(spark, sf_dir).group_report, S_METRICS)

@@ -23,7 +23,7 @@ from tidemark.plans.profiles import SECOND_REGISTRY, member_table
 from tidemark.sources.config import parse_config
 from tidemark.sources.daily import DailyActivity
 from tidemark.sources.events import CORE_COLUMNS, EVENT_SCHEMA, check_columns, from_second_tracker
-from tidemark.sources.sinks import read_kpi_csv, write_report_csv
+from tidemark.sources.sinks import read_kpi_csv, write_kpi_tables, write_report_csv
 from tidemark.streaming import hourly as H
 from tidemark.streaming import keys as K
 
@@ -311,6 +311,41 @@ def hourly_visitors_stream(spark, sf_dir):
     return K.hourly_changes(_streamed_visitors(spark, sf_dir), "device", by=["tenant"])
 
 
+@query("first_occurrence_two_lows", f"""
+SELECT f.*, l.lowest_price, l.first_page FROM (
+  SELECT session_id, event_timestamp AS session_start, utm_source FROM ({earliest("view_b", "session_id", "utm_source", "event_name = 'page_viewed'")})) f
+JOIN (SELECT session_id, min(price_amount) AS lowest_price, min(page_url) AS first_page FROM view_b
+  WHERE event_name = 'page_viewed' GROUP BY session_id) l ON l.session_id = f.session_id""")
+def first_occurrence_two_lows(spark, sf_dir):
+    """A first occurrence with further minima, in the same aggregate."""
+    kpi = {"calculation": {
+        "method": "count", "filter": {"column": "event_name", "operator": "==", "value": "page_viewed"}, "column": "session_id",
+        "first_occurrence": {"group_by": "session_id", "aggregations": [
+            {"column": "event_timestamp", "agg": "min", "alias": "session_start"}, {"column": "utm_source", "agg": "first"},
+            {"column": "price_amount", "agg": "min", "alias": "lowest_price"}, {"column": "page_url", "agg": "min", "alias": "first_page"}]}}}
+    return E.first_occurrence(T.browser_events(spark, sf_dir), kpi)[0]
+
+
+@query("dim_copy_source", "SELECT utm_medium, utm_medium AS member, count(*) AS n FROM view_b GROUP BY utm_medium")
+def dim_copy_source(spark, sf_dir):
+    """A dimension with neither transformations nor a mapping is its source column."""
+    member = E.dimension_column({"name": "medium", "source_column": "utm_medium"}, {"mappings": {}})
+    return T.browser_events(spark, sf_dir).groupBy("utm_medium", member.alias("member")).agg(F.count("*").alias("n"))
+
+
+@query("dim_second_pass", f"""
+SELECT user_agent, CASE WHEN device IN ('iOS', 'macOS') THEN 'Apple' ELSE device END AS device, count(*) AS n
+FROM (SELECT user_agent, device FROM ev_b) GROUP BY ALL""")
+def dim_second_pass(spark, sf_dir):
+    """A second transformation rewrites some members of the first and keeps the others."""
+    spec = {"name": "device", "source_column": "user_agent", "transformations": [
+        {"type": "when_then", "default": "Other", "conditions": [
+            {"condition": f"str.contains({pattern!r})", "value": member} for pattern, member in D.DEVICE_RULES]},
+        {"type": "when_then", "default": "device", "conditions": [{"condition": "is_in(['iOS', 'macOS'])", "value": "Apple"}]}]}
+    device = E.dimension_column(spec, {"mappings": {}})
+    return T.browser_events(spark, sf_dir).groupBy("user_agent", device.alias("device")).agg(F.count("*").alias("n"))
+
+
 # --- hourly tables ---------------------------------------------------------------------------
 
 def _hourly(member: str, source: str = "ev_b", where: str = "event_name = 'checkout_completed'") -> str:
@@ -336,6 +371,21 @@ def _wide(member: str, source: str, members, total=None) -> str:
       {columns}, {counted} AS "Total" FROM {source} GROUP BY ALL"""
 
 
+@query("hourly_counts_stream", """
+SELECT tenant, date_trunc('hour', event_timestamp) AS time, geo AS member, count(*) AS n FROM ev_b GROUP BY ALL""")
+def hourly_counts_stream(spark, sf_dir):
+    """Events per hour and location, from events that arrive by time; the last hours are closed by one far row."""
+    work = T.work(spark)
+    events = browser(spark, sf_dir).select("tenant", "event_timestamp", "geo")
+    closing = spark.createDataFrame([(None, "2999-01-01 00:00:00", None)], "tenant string, event_timestamp string, geo string")
+    ordered = events.repartitionByRange(ARRIVALS, "event_timestamp").sortWithinPartitions("event_timestamp")
+    ordered.write.parquet(work.path("arrivals"))
+    closing.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz")).write.mode("append").parquet(work.path("arrivals"))
+    # In one batch: the watermark follows it.
+    arriving = H.event_stream(spark, events.schema, work.path("arrivals"))
+    return K.drain(H.hourly_counts(arriving, "geo", by=["tenant"]), work.path("stream"))
+
+
 @query("pivot_geo", _wide("geo", "(SELECT * FROM ev_b WHERE event_name = 'checkout_completed')",
                           BROWSER.members["geo"], BROWSER.members["geo"]))
 def pivot_geo(spark, sf_dir):
@@ -531,6 +581,20 @@ def kpi_config(spark, sf_dir):
     return counts.unpivot([], list(flags), "kpi", "n")
 
 
+@query("kpi_csv_tables", f"""
+SELECT hour(event_timestamp) AS time_hour, date_trunc('hour', event_timestamp) AS time,
+  {', '.join(f"count(*) FILTER (WHERE {MAPPED_DEVICE} = {text(m)}) AS " + chr(34) + m + chr(34) for m in ('Mobile', 'Desktop', 'Other'))}, count(*) AS "Total"
+FROM view_b WHERE event_name = {text(ORDER)} GROUP BY ALL""")
+def kpi_csv_tables(spark, sf_dir):
+    """Configured tables of orders written as CSV, one of them read back."""
+    config = default_config(T.GLOBAL_SHOP)
+    config["kpis"] = {"orders": config["kpis"]["orders"]}
+    work = T.work(spark)
+    tables = E.kpi_tables(T.browser_events(spark, sf_dir, ORDER), config, work=work)
+    paths = write_kpi_tables(tables, work.path("csv"))
+    return read_kpi_csv(spark, paths["orders", "device"], tables["orders", "device"].schema)
+
+
 @query("csv_roundtrip", _wide("geo", "(SELECT * FROM ev_b WHERE event_name = 'checkout_completed')",
                               BROWSER.members["geo"], BROWSER.members["geo"]))
 def csv_roundtrip(spark, sf_dir):

@@ -43,7 +43,8 @@ def _packed_first(df: DataFrame, keys: list[str], time: str, keep: list[str], va
     return found.select(*keys, (epoch + F.make_dt_interval(secs=since)).alias(time), *columns)
 
 
-def earliest_per_key(df: DataFrame, keys, time: str, keep, values: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def earliest_per_key(df: DataFrame, keys, time: str, keep, values: Mapping[str, Sequence[str]] | None = None,
+                     least: Mapping[str, str] | None = None) -> DataFrame:
     """Earliest row of each key, as ``keys + time + keep``.
 
     Rows without a time are left out.  Rows of one key at the very same time are ordered by
@@ -52,10 +53,12 @@ def earliest_per_key(df: DataFrame, keys, time: str, keep, values: Mapping[str,
     One aggregate with one shuffle.  Each map task sends a single row per key, so a key that
     holds a third of all rows weighs no more than any other.  Where ``values`` lists all that every
     kept column can be besides null (few enough to number), the aggregate hashes; otherwise its buffer holds texts
-    and it sorts.  A value that is not listed raises an error.
+    and it sorts.  A value that is not listed raises an error.  ``least`` maps further columns to the names of their
+    own smallest values, over the same rows.
     """
     keys, keep = list(keys), [c for c in keep if c not in keys]
-    listed = values is not None and all(c in values for c in keep)
+    lows = [F.min(c).alias(name) for c, name in (least or {}).items()]
+    listed = not lows and values is not None and all(c in values for c in keep)
     if listed and df.schema[time].dataType.typeName() == "timestamp_ntz":
         combinations = 1
         for c in keep:
@@ -65,9 +68,9 @@ def earliest_per_key(df: DataFrame, keys, time: str, keep, values: Mapping[str,
     first = (
         df.where(F.col(time).isNotNull())
         .groupBy(*keys)
-        .agg(F.min(F.struct(time, *keep)).alias("first_row"))
+        .agg(F.min(F.struct(time, *keep)).alias("first_row"), *lows)
     )
-    return first.select(*keys, "first_row.*")
+    return first.select(*keys, "first_row.*", *(least or {}).values())
 
 
 def session_rollup(df: DataFrame, attributes: dict[str, str], key: str = "session_id",

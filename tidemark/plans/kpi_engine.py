@@ -168,12 +168,11 @@ def first_occurrence(events: DataFrame, kpi: dict, by=()) -> tuple[DataFrame, st
         raise ValueError("first_occurrence needs a min aggregation for its time")
     source, time = lows[0]
     key = [*by, spec["group_by"]]
-    picked = rows.select(*key, F.col(source).alias(time), *[F.col(c).alias(out) for c, out in firsts])
-    out = earliest_per_key(picked, key, time, [o for _, o in firsts])
-    if lows[1:]:
-        more = rows.where(F.col(source).isNotNull()).groupBy(*key).agg(
-            *[F.min(c).alias(o) for c, o in lows[1:]])
-        out = out.join(more, key)
+    further = {f"low_{i}_of_rows": out for i, (_, out) in enumerate(lows[1:])}
+    picked = rows.select(
+        *key, F.col(source).alias(time), *[F.col(c).alias(out) for c, out in firsts],
+        *[F.col(c).alias(name) for (c, _), name in zip(lows[1:], further)])
+    out = earliest_per_key(picked, key, time, [o for _, o in firsts], least=further)
     return (out.na.drop("any") if spec.get("drop_nulls") else out), time
 
 
