@@ -68,7 +68,7 @@ def test_encoder_agrees_with_the_tokenizer(name):
 
     path, rnd = public_tokenizers.path(name), random.Random(1)
     texts = ["it's Foo'S 'sam don't", "<|endoftext|>A<|x <|startoftext|>É <|ENDOFTEXT|>", "a\x1cb\x85c\xa0d", "é \u0301x A\u030a", "ΑΣ ΣΑΣ. ǅ İI ﬁ",
-             "\u2003 b\u3000c 1234 5.6,7 ½ ²", None, "", " \n"]
+             "\u2003 b\u3000c 1234 5.6,7 ½ ²", *(f"a{chr(c)}b" for c in range(0x3001) if chr(c).isspace()), "w" * 200, None, "", " \n"]
     for alphabet in ("aZéÀß!.,&(<|>×÷ÿ$ ^`_~", "aAbé'\u0301 \t\n.,<|>12ßΣİ\x1c\u3000st"):
         texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 50))) for _ in range(500)]
     plain = Tokenizer.from_file(path)

@@ -28,6 +28,7 @@ CAPACITY, LEAST_CUT, END_ID = 2048, 64, 1
 KEPT, KEPT_CHARS = 600_000, 64
 _SEQUENCES = 1 << 36  # of a partition at most
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
+_other_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 #: The text rules under which words between white space are encoded apart from each other.
 NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -43,6 +44,20 @@ _parts = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+").findall
 _plain = re.compile(f"[{_LETTERS}{_MARKS}]+").fullmatch
 
 
+class _Words(dict):
+    """Ids of words; one that is not there is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= KEPT_CHARS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, by a tokenizer's file.
 
@@ -58,44 +73,38 @@ class Encoder:
         self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         self.apart = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
-        self.special = [t["content"][:2] for t in rules["added_tokens"]]
+        self.special = re.compile("|".join(sorted({re.escape(t["content"][:2]) for t in rules["added_tokens"]})) or r"(?!)").search
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.kept: dict[str, bytes] = {}
-        self.kept_parts: dict[str, bytes] = {}
+        self.kept = _Words(self._word)
+        self.kept_parts = _Words(self._part)
 
     def _part(self, part: str) -> bytes:
-        ids = self.kept_parts.get(part)
-        if ids is None:
-            found = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(part) <= KEPT_CHARS:
-                self.kept_parts[part] = ids
-        return ids
+        found = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if _plain(word) and not any(s in word for s in self.special):
-            return b"".join(map(self._part, _parts(word.lower())))
+        if _plain(word) and not self.special(word):
+            return b"".join(map(self.kept_parts.__getitem__, _parts(word.lower())))
         return self._encode(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.apart:
             return [self._encode(t) if t else b"" for t in texts]
-        lines = [_words(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        if len(self.kept_parts) > KEPT:
-            self.kept_parts = {}
-        table, long = self.kept, {}
-        for word in set().union(*lines).difference(table):
-            (table if len(word) <= KEPT_CHARS else long)[word] = self._word(word)
-        if long:
-            table = {**table, **long}
-        return [b"".join([table[w] for w in line]) for line in lines]
+        out = []
+        for text in texts:
+            # split() knows further white space than the words' pattern.
+            line = (_words(text) if _other_space(text) else text.split()) if text else []
+            out.append(b"".join(map(self.kept.__getitem__, line)))
+            if len(self.kept) > KEPT:
+                self.kept.clear()
+            if len(self.kept_parts) > KEPT:
+                self.kept_parts.clear()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
