@@ -438,3 +438,34 @@ def test_licences_over_lines_and_side_by_side(spark):
     docs = rows(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])
     got = {r.doc_id: [x.family for x in r.licences] for r in licenses.scan(docs).collect()}
     assert [(set(got[i]), len(got[i])) for i in range(len(texts))] == [(want, len(want)) for _, want in texts]
+
+
+def test_licences_are_decided_by_the_classifier(spark):
+    prose = "the river runs along the old road and the people of the town walk there in the evening " * 3
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files (the \"Software\"), to deal in the Software without restriction")
+    texts = [("This project uses the MIT license.", {"mit"}), ("Licensed under the terms of the Apache Licence 2.0.", {"apache-2.0"}),
+             ("It is under the GNU Lesser General Public License.", {"lgpl"}), ("# SPDX-License-Identifier: MPL-2.0", {"mpl-2.0"}),
+             ("SPDX-License-Identifier: GPL-2.0-only", {"gpl-2.0"}), ("Available under the ISC License", {"isc"}),
+             ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING', {"mit"}),
+             ("\n".join(f"# {w}" + " " * 100 for w in mit.split()), {"mit"}),  # a word a line, 3,000 characters
+             (f"{prose}\n\n{mit}\n\n{prose}", {"mit"}), (f"{prose} Released under the MIT License. {prose}", {"mit"}),
+             ("This code is not released under the MIT License.", set()), ("The MIT License does not apply here.", set()),
+             ("This is not licensed under the GNU General Public License, version 3.", set()),
+             ("She had a driving licence and permission to leave.", set()), ("Released under the MIT\n\nLicense", set()),
+             (None, set()), ("", set()), ("word " * 50_000 + "Released under the MIT License.", {"mit"})]
+    docs = rows(spark, [(None if i == 0 else i, t, None, None) for i, (t, _) in enumerate(texts)])
+    got = {r.doc_id or 0: [(x.paragraph, x.family) for x in r.licences] for r in licenses.scan(docs).collect()}
+    assert {i: {f for _, f in found} for i, found in got.items()} == {i: want for i, (_, want) in enumerate(texts)}
+    assert all(len(found) == len({f for _, f in found}) for found in got.values())
+    assert got[8][0][0] == 2 and got[17][0][0] == 0
+
+
+def test_licences_unknown_class_is_calibrated(spark, documents):
+    scanner = licenses.Scanner(documents)
+    assert licenses.LEAST_PROBABILITY <= scanner.threshold < 1
+    scanner.threshold = 0.0  # every family of every window is likely: only the templates decide
+    one = spark.createDataFrame([("not released under the mit license",)], "text string")
+    words = licenses._words(F.col("text"))
+    found = one.select(F.transform(scanner.likely(words), lambda f: f["p"]).alias("p"), F.size(scanner._confirmed(scanner._known(words))).alias("n")).first()
+    assert len(found.p) == len(scanner.families) and max(found.p) < licenses.LEAST_PROBABILITY and found.n > 0
