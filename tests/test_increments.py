@@ -63,6 +63,33 @@ def test_stream_corrects_itself_in_any_order(spark, tmp_path, order):
     assert corrections > 0 or order[0] == 1  # the second part holds the earliest rows of two keys
 
 
+def test_stream_calls_python_by_bucket(spark, tmp_path):
+    """Many keys of several types, null among them, in as many calls as there are buckets, and numbers kept whole."""
+    big = 2 ** 53 + 1
+    schema = "a long, b double, t timestamp_ntz, n long, d string"
+    one = [(big + i if i % 7 else None, i % 3 - 1.0 if i % 5 else None, T0 + i % 11 * HOUR, big + i, None if i % 4 else "x") for i in range(300)]
+    two = [(a, 0.0 if b == -1.0 else -0.0 if b == 0.0 else b, t - HOUR, None if n % 2 else n, "y") for a, b, t, n, _ in one[::2]]
+    for rows in (one, two):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = H.event_stream(spark, spark.createDataFrame([], schema).schema, f"{tmp_path}/in")
+        found = K.earliest_keys(stream, ["a", "b"], ["n", "d"], "t", buckets=3)
+        changes = K.drain(found, str(tmp_path))
+    assert "bucket_of_key" in found._jdf.queryExecution().analyzed().toString()
+    got, want = K.settled(changes), U.earliest_per_key(spark.createDataFrame(one + two, schema), ["a", "b"], "t", ["n", "d"])
+    assert got.select("a").distinct().count() > 200 and same(got, want)
+
+
+def test_timer_is_of_a_key_not_of_its_bucket(spark, tmp_path):
+    """One bucket: a key that is seen again is held on, another of the bucket is forgotten, the rest stays."""
+    for rows in ([("v", T0, "a"), ("w", T0, "a"), ("u", T0 + 5 * HOUR, "a")], [("w", T0 + 6 * HOUR, "b"), ("x", T0 + 8 * HOUR, "b")],
+                 [("y", T0 + 13 * HOUR, "b")], [(k, T0 + 14 * HOUR, "c") for k in "vwu"]):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = H.event_stream(spark, spark.createDataFrame([], EVENT).schema, f"{tmp_path}/in")
+        changes = K.drain(K.earliest_keys(stream, ["k"], ["d"], "t", delay="1 hour", hold_hours=10, buckets=1), str(tmp_path))
+    seen = sorted((r.k, r.d, r.change) for r in changes.collect())
+    assert seen == [("u", "a", 1), ("v", "a", 1), ("v", "c", 1), ("w", "a", 1), ("x", "b", 1), ("y", "b", 1)]
+
+
 def test_timer_forgets_a_key(spark, tmp_path):
     stream = None
     for rows in ([("v", T0, "a")], [("x", T0 + 100 * HOUR, "b")], [("y", T0 + 101 * HOUR, "b")], [("v", T0 + 102 * HOUR, "c")]):
