@@ -132,6 +132,18 @@ def test_bitmaps_count_exactly(spark, monkeypatch, bucket):
         assert same(got.where(F.col("level") == level).select(*keys, "n"), want)
 
 
+def test_bitmaps_take_no_more_than_their_keys(spark):
+    """A cell of few keys is a few numbers, not a block of a fixed 4 KB, and aggregates hash."""
+    rows = spark.range(2000).select(F.lit("t").alias("tenant"), F.col("id").alias("visitor"), (F.col("id") % 500).alias("geo"))
+    cells = ["tenant", "geo"]
+    numbered = M.numbered_keys(M.key_cells(rows, "visitor", cells), "visitor")
+    bitmaps = M.cell_bitmaps(numbered, cells)
+    assert bitmaps.schema["bits"].dataType.simpleString() == "bigint" and bitmaps.count() <= 2000
+    assert bitmaps.agg(F.sum(F.bit_count("bits"))).first()[0] == 2000
+    plan = M.unique_levels(rows, "visitor", cells, [("tenant",), ("tenant", "geo")])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_intervals_of_any_length(spark):
     points = [("a", T0 + dt.timedelta(minutes=15 * i), i) for i in range(400)] + [("b", T0, 0), (None, T0, 0), ("a", None, 0)]
     spans = [("a", 1, 0, 0), ("a", 2, 10, 10), ("a", 3, 7, 300), ("a", 4, 20, 10), ("b", 5, -50, 50), ("a", 6, 13, 14), (None, 7, 0, 9), ("a", 8, -9, 399)]

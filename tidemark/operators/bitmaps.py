@@ -1,8 +1,10 @@
 """Unique keys at several levels from one pass over exact, mergeable bitmaps.
 
 Distinct counts do not add up from hours to days or from members to totals, so each level would scan and
-shuffle the keys again.  A key's number within its shop is dense, so the keys of a cell are bits of a few
-bitmaps of 32,768 bits, which ``or`` puts together at any level: cells, then grouping sets of them.
+shuffle the keys again.  A key's number within its shop is dense, so the keys of a cell are bits of words of
+64, which ``or`` puts together at any level: cells, then grouping sets of them.  A cell has only the words that
+its keys are in, so a table of many small cells takes no more rows than it has keys, and a word is a
+number in the aggregates' buffers, which hash and spill; a level of many keys has up to 64 of them in a row.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap, a fixed value of the bitmap functions, and keys that a bucket is to hold.
-BITS, BUCKET_KEYS = 32_768, 16_384
+#: Bits of a bit's place in its word, numbers of a bucket's range, and keys that a bucket is to hold.
+WORD_BITS, BITS, BUCKET_KEYS = 6, 32_768, 16_384
 
 
 def numbered_keys(rows: DataFrame, key: str, by=("tenant",)) -> DataFrame:
@@ -40,30 +42,34 @@ def key_cells(rows: DataFrame, key: str, cells) -> DataFrame:
 
 
 def cell_bitmaps(numbered: DataFrame, cells) -> DataFrame:
-    """``cells + part + bits``: the keys of each cell, ``part`` numbering its bitmaps."""
-    # Bits count from 1 in these functions.
-    number = F.col("number") + 1
-    return numbered.groupBy(*cells, F.bitmap_bucket_number(number).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    """``cells + part + bits``: each row's key as a bit, ``part`` numbering the words.
+
+    A task has all rows of a bucket's words, so ``roll_up`` puts them together where they are, and only
+    what is left of each word of a level is shuffled.
+    """
+    number = F.col("number")
+    return numbered.select(
+        *cells, F.call_function("shiftright", number, F.lit(WORD_BITS)).alias("part"),
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), (number % (1 << WORD_BITS)).cast("int")).alias("bits"))
 
 
 def roll_up(bitmaps: DataFrame, columns, sets) -> DataFrame:
     """Unique keys ``n`` at each of the grouping sets (lists of ``columns``), with their ``level``.
 
-    Bitmaps of a set and part are put together before the shuffle; what is left of each is counted.
+    Words of a set and part are put together before the shuffle; what is left of each is counted.
     ``level`` is the number of the set, columns outside it are null.
     """
     names = list(columns)
     every = [[*s, "part"] for s in sets]
     merged = bitmaps.groupingSets([[F.col(c) for c in s] for s in every], *[F.col(c) for c in [*names, "part"]]).agg(
-        F.bitmap_or_agg("bits").alias("bits"), F.grouping_id().alias("gid"))
+        F.bit_or("bits").alias("bits"), F.grouping_id().alias("gid"))
     width = len(names) + 1
     level: Column = F.lit(None)
     for i, s in enumerate(every):
         gid = sum(1 << (width - 1 - at) for at, c in enumerate([*names, "part"]) if c not in s)
         level = F.when(F.col("gid") == gid, i).otherwise(level)
     return merged.withColumn("level", level).groupBy(*names, "level").agg(
-        F.sum(F.bitmap_count("bits")).cast("bigint").alias("n"))
+        F.sum(F.bit_count("bits")).cast("bigint").alias("n"))
 
 
 def unique_levels(rows: DataFrame, key: str, columns, sets, by=("tenant",)) -> DataFrame:
