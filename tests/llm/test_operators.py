@@ -327,6 +327,21 @@ def test_top_products(spark, monkeypatch):
     assert metric_tree.top_products(frame.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("spread, size", [(1, 64), (1, 2 ** 28), (0.01, 64), (0, 3)])
+def test_tree_takes_many_queries_at_once(spread, size):
+    """Own ids, ties and equal rows; products beyond 2**53; clusters, of which most leaves are left out."""
+    random = np.random.default_rng(1)
+    middles = random.integers(-size, size, (12, 8))
+    rows = middles[random.integers(0, 12, 1500)] + (random.integers(-size, size, (1500, 8)) * spread).astype(np.int64)
+    ids = np.arange(1500) // 2 * 2 + 10  # each id twice
+    tree = metric_tree.Tree(ids, rows)
+    own = ids[::30]
+    query, score, id_ = tree.search(rows[::30], own, 5)
+    for at, (v, o) in enumerate(zip(rows[::30], own)):
+        want = sorted((-int(s), int(i)) for s, i in zip(rows @ v, ids) if i != o)[:5]
+        assert sorted((-s, i) for s, i in zip(score[query == at].tolist(), id_[query == at].tolist())) == want
+
+
 def test_nearest_recall(spark, monkeypatch):
     monkeypatch.setattr(collisions, "BLOCK_ROWS", 200)
     data, frame = vectors(spark, [(300_000, [0.0] * 64)])

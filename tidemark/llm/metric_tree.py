@@ -5,16 +5,16 @@ greatest inner products with a query are the least distances to it, so a metric
 Vectors are dealt by a hash of the id to trees of about ``TREE_ROWS``.  A tree has pages of
 ``PAGE`` entries; an entry of an inner page has a routing vector, the covering radius of its page
 and the distance to the page's own routing vector, an entry of a leaf has its vector and that
-distance.  A query visits pages by the least distance that anything in them can have, and leaves
-out entries whose stored distance to the parent proves them too far before computing theirs.
-Queries pass by each tree one at a time; a query's best of all trees are merged.
+distance.  Queries go through a tree together.  Each visits the leaves first that have the least distance that
+anything in them can have; then every leaf takes all queries that still reach it, in one product of matrices,
+and leaves out entries whose stored distance to the parent proves them too far before computing theirs.
+A query's best of all trees are merged.
 
 Scores are exact integers; bounds are in double precision and are loosened by more than its error.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Work
 
 TREE_ROWS, PAGE = 4096, 64
+#: Leaves that a query visits by itself before those it has in common with others, and queries searched together.
+FIRST, TOGETHER = 2, 1024
 
 
 class Tree:
@@ -66,41 +68,87 @@ class Tree:
         self.pages.append(page)
         return len(self.pages) - 1
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """``(score, id)`` of the ``k`` greatest inner products, ties to smaller ids, without id ``own``."""
-        point = np.append(query, 0).astype(np.float64)
-        length = float((query * query).sum()) + self.top
-        slack = 1e-9 * (1 + length)
-        best: list[tuple[int, int]] = []  # (score, -id), a heap of the k best
-
-        def reach() -> float:
-            """No row farther than this is among the k best."""
-            return math.sqrt(max(0.0, length - 2 * best[0][0]) + slack) if len(best) == k else math.inf
-
-        heap = [(0.0, self.root, float(np.sqrt(((point - self.pages[self.root]["centre"]) ** 2).sum())))]
-        while heap:
-            low, number, to_centre = heapq.heappop(heap)
-            r = reach()
-            if low > r:
-                break
+    def _bounds(self, points: np.ndarray):
+        """Leaves, and of each query and leaf: the least distance of anything in it, and the least and greatest to its centre."""
+        lengths = (points * points).sum(1)
+        leaves, lows, nears, fars = [], [], [], []
+        stack = [(self.root, np.zeros(len(points)))]
+        while stack:
+            number, low = stack.pop()
             page = self.pages[number]
+            centres = page["centre"][None] if "rows" in page else page["routing"]
+            # Squares by a product lose some digits of both lengths: taken off and added, far above that error.
+            both = lengths[:, None] + (centres * centres).sum(1)
+            square, error = both - 2 * points @ centres.T, 1e-12 * both
+            near, far = np.sqrt(np.maximum(0, square - error)), np.sqrt(np.maximum(0, square) + error)
             if "rows" in page:
-                at = np.flatnonzero(np.abs(page["to_parent"] - to_centre) <= r + slack)
-                rows = page["rows"][at]
-                for score, id_ in zip((self.vectors[rows] @ query).tolist(), self.ids[rows].tolist()):
-                    if id_ != own:
-                        if len(best) < k:
-                            heapq.heappush(best, (score, -id_))
-                        elif (score, -id_) > best[0]:
-                            heapq.heapreplace(best, (score, -id_))
+                leaves.append(page)
+                lows.append(low)
+                nears.append(near[:, 0])
+                fars.append(far[:, 0])
             else:
-                at = np.flatnonzero(np.abs(page["to_parent"] - to_centre) - page["radius"] <= r + slack)
-                far = np.sqrt(((page["routing"][at] - point) ** 2).sum(1))
-                for j, d in zip(at.tolist(), far.tolist()):
-                    bound = max(0.0, d - page["radius"][j])
-                    if bound <= r + slack:
-                        heapq.heappush(heap, (bound, page["children"][j], d))
-        return [(s, -i) for s, i in best]
+                bound = np.maximum(low[:, None], near - page["radius"])
+                stack += [(child, bound[:, j]) for j, child in enumerate(page["children"])]
+        return leaves, np.array(lows).T, np.array(nears).T, np.array(fars).T
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, score, id)`` of the ``k`` greatest inner products of each query, ties to smaller ids, without its id ``own``.
+
+        Each query first visits its ``FIRST`` best leaves, which give it a reach; then each leaf is compared
+        at once with the queries that reach it and have not visited it.
+        """
+        n = len(queries)
+        points = np.concatenate([queries, np.zeros((n, 1))], 1).astype(np.float64)
+        squares = (points * points).sum(1)
+        length = squares + self.top
+        slack = 1e-9 * (1 + length)
+        # Whole numbers below 2**53 are exact in floats, so a product of matrices is too.
+        exact = float(squares.max(initial=0)) * float((self.points * self.points).sum(1).max(initial=0)) < 2.0 ** 104
+        asked = points[:, :-1] if exact else queries
+        leaves, lows, nears, fars = self._bounds(points)
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))  # query, score, id
+        least = np.full(n, np.iinfo(np.int64).min)  # the k-th best score of each query
+        filled = np.zeros(n, bool)
+
+        def reach(at):
+            """No row farther than this is among the k best."""
+            return np.where(filled[at], np.sqrt(np.maximum(0.0, length[at] - 2.0 * least[at]) + slack[at]), np.inf) + slack[at]
+
+        def visit(j: int, at: np.ndarray) -> None:
+            nonlocal found
+            page, r = leaves[j], reach(at)
+            first = np.searchsorted(page["to_parent"], (nears[at, j] - r).min(), "left")
+            last = np.searchsorted(page["to_parent"], (fars[at, j] + r).max(), "right")
+            rows = page["rows"][first:last]
+            vectors = self.points[rows, :-1] if exact else self.vectors[rows]
+            scores = (asked[at] @ vectors.T).astype(np.int64)
+            q, row = np.nonzero((scores >= least[at][:, None]) & (self.ids[rows] != own[at][:, None]))
+            if not len(q):
+                return
+            touched = np.zeros(n, bool)
+            touched[at[q]] = True
+            old = touched[found[0]]
+            merged = [np.concatenate([f[old], new]) for f, new in zip(found, (at[q], scores[q, row], self.ids[rows][row]))]
+            order = np.lexsort((merged[2], -merged[1], merged[0]))
+            merged = [m[order] for m in merged]
+            starts = np.searchsorted(merged[0], merged[0], "left")
+            place = np.arange(len(starts)) - starts
+            full = merged[0][place == k - 1]
+            filled[full], least[full] = True, merged[1][place == k - 1]
+            found = tuple(np.concatenate([f[~old], m[place < k]]) for f, m in zip(found, merged))
+
+        best = np.argsort(lows, 1, kind="stable")[:, :FIRST]
+        seen = np.zeros(lows.shape, bool)
+        for turn in range(best.shape[1]):
+            for j in np.unique(best[:, turn]).tolist():
+                visit(j, np.flatnonzero(best[:, turn] == j))
+        np.put_along_axis(seen, best, True, 1)
+        for j in np.argsort(lows.min(0), kind="stable").tolist():
+            at = np.flatnonzero(~seen[:, j])
+            at = at[lows[at, j] <= reach(at)]
+            if len(at):
+                visit(j, at)
+        return found
 
 
 def usable(vectors: DataFrame) -> Column:
@@ -142,13 +190,19 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     def search(batches):
         tree = None
         for frame in batches:
-            out = []
-            for pages, query_id, v in zip(frame.pages, frame.query_id, frame.v):
-                if pages is not None:
-                    tree = pickle.loads(pages)
-                else:
-                    out += [(int(query_id), i, s) for s, i in tree.search(np.array(v, np.int64), int(query_id), k)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            out = [np.empty((0, 3), np.int64)]
+            # A tree's row comes before its queries.
+            part = frame.pages.notna().cumsum()
+            for _, group in frame.groupby(part, sort=True):
+                if group.pages.iloc[0] is not None:
+                    tree, group = pickle.loads(group.pages.iloc[0]), group.iloc[1:]
+                for at in range(0, len(group), TOGETHER):
+                    some = group.iloc[at:at + TOGETHER]
+                    queries = np.array(some.v.tolist(), np.int64).reshape(len(some), -1)
+                    own = some.query_id.to_numpy(np.int64)
+                    query, score, id_ = tree.search(queries, own, k)
+                    out.append(np.stack([own[query], id_, score], 1))
+            yield pd.DataFrame(np.concatenate(out), columns=["query_id", "vec_id", "score"])
 
     found = both.select("pages", F.coalesce("query_id", F.lit(0)).alias("query_id"), "v").mapInPandas(
         search, "query_id long, vec_id long, score long")
