@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a bit's place in its word, numbers of a bucket's range, and keys that a bucket is to hold.
 WORD_BITS, BITS, BUCKET_KEYS = 6, 32_768, 16_384
+#: Least number of tasks that buckets are dealt to; a row there becomes one at every level.
+LEAST_TASKS = 256
 
 
 def numbered_keys(rows: DataFrame, key: str, by=("tenant",)) -> DataFrame:
@@ -28,6 +30,9 @@ def numbered_keys(rows: DataFrame, key: str, by=("tenant",)) -> DataFrame:
         F.ceil(F.approx_count_distinct(key) / BUCKET_KEYS).alias("buckets"))
     dealt = rows.join(sizes, by).withColumn(
         "bucket", F.pmod(F.xxhash64(key), F.greatest(F.col("buckets"), F.lit(1))))
+    # A number of its own, for adaptive execution to leave: it would put buckets together by their small size on disk.
+    tasks = max(LEAST_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, *by, "bucket")
     place = F.dense_rank().over(Window.partitionBy(*by, "bucket").orderBy(key)).cast("bigint") - 1
     # A bucket of more than BITS keys goes on behind all first parts, in a range of its own.
     ranked = dealt.withColumn("place", place)
